@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding, url_reputation
+from . import chat, decontamination, jaccard_join, mixing, sharding, url_reputation
 
 QUERIES = {
     "op1_url_reputation": url_reputation.query,
     "op2_pareto_mix": mixing.query,
     "op3_reply_trees": chat.query,
+    "op6_token_groups": jaccard_join.query,
+    "op8_fm_index": decontamination.query,
     "op9_label_propagation": sharding.query,
 }
 ORACLES = {
     "op1_url_reputation": url_reputation.ORACLE,
     "op2_pareto_mix": mixing.ORACLE,
     "op3_reply_trees": chat.ORACLE,
+    "op8_fm_index": decontamination.ORACLE,
 }
