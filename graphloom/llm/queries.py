@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard_join, mixing, sharding, url_reputation
+from . import chat, decontamination, jaccard_join, media, mixing, sharding, url_reputation, warc
 
 QUERIES = {
     "op1_url_reputation": url_reputation.query,
     "op2_pareto_mix": mixing.query,
     "op3_reply_trees": chat.query,
+    "op4_warc_writer": warc.query,
+    "op5_media_tiles": media.query,
     "op6_token_groups": jaccard_join.query,
     "op8_fm_index": decontamination.query,
     "op9_label_propagation": sharding.query,
@@ -16,5 +18,6 @@ ORACLES = {
     "op1_url_reputation": url_reputation.ORACLE,
     "op2_pareto_mix": mixing.ORACLE,
     "op3_reply_trees": chat.ORACLE,
+    "op4_warc_writer": warc.ORACLE,
     "op8_fm_index": decontamination.ORACLE,
 }
