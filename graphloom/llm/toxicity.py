@@ -8,8 +8,8 @@
 3. Restored tokens give features: the word, and its beginnings of 3 to 8 letters, as stems are toxic in inflected
    languages. Weights are smoothed log odds from labelled rows of one half, for features that at least
    `MIN_DOCUMENTS` toxic documents have.
-4. A logistic model of four numbers of a document (sum and maximum of the weights of its distinct tokens, how many
-   have any, length), fitted on the other half, gives the score. All tokens of whole texts count.
+4. A logistic model of four numbers of a document (sum, largest and second weight of its distinct tokens, how many
+   have any), fitted on the other half, gives the score. All tokens of whole texts count.
 
 Fitting takes `FIT_ROWS` labelled rows at most, those with the least hashes, a documented bound; everything else is
 counted over all documents. Labels, languages, sources and ids are no inputs of a score; ids only select rows for
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, small_batches
 
-FIT_ROWS, MIN_DOCUMENTS, MIN_WEIGHT, MAX_FEATURES, THRESHOLD = 12_000, 4, 2.0, 50_000, 0.7
+FIT_ROWS, MIN_DOCUMENTS, MIN_WEIGHT, MAX_FEATURES, THRESHOLD = 16_000, 4, 3.0, 50_000, 0.7
 SHORTEST, LONGEST = 3, 8
 #: Letters that a sign is often written for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -197,16 +197,17 @@ def _counts(rows: DataFrame, lm, only) -> DataFrame:
     return rows.mapInArrow(run, "feature string, n long, toxic int").groupBy("feature", "toxic").agg(F.sum("n").alias("n"))
 
 
-def _numbers(weights: list[float], n: int) -> tuple[float, float, float, float]:
-    own = [w for w in weights if w > 0]
-    return math.log1p(sum(own)), max(own, default=0.0), math.log1p(len(own)), math.log1p(n) / 10
+def _numbers(weights: list[float]) -> tuple[float, float, float, float]:
+    """Of a document's distinct tokens: sum, largest and second weight, and how many have any."""
+    own = sorted((w for w in weights if w > 0), reverse=True)
+    return math.log1p(sum(own)), own[0] if own else 0.0, own[1] if len(own) > 1 else 0.0, math.log1p(len(own))
 
 
 def _rated(words: tuple[str, ...], weight: dict[str, float]) -> float:
     return max((weight.get(f, 0.0) for w in words for f in beginnings(w)), default=0.0)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-1) -> np.ndarray:
     """Newton's method; the intercept comes last."""
     x = np.c_[x, np.ones(len(x))]
     b = np.zeros(x.shape[1])
@@ -247,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_at_most: int = FIT_ROWS) -> tup
         own = sent.value
         reader = Reader(lm.value, lambda words: _rated(words, own))
         for b in batches:
-            got = [_numbers(w, len(w)) for w in map(reader.text, b.column(0).to_pylist())]
+            got = [_numbers(w) for w in map(reader.text, b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(pa.array([g[i] for g in got], pa.float64()) for i in range(4)), b.column(1)], ["a", "b", "c", "d", "toxic"])
 
     rows = fitted.where("half = 1").select("text", "toxic").mapInArrow(numbers, "a double, b double, c double, d double, toxic int").collect()
@@ -272,7 +273,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, dict[str, float], np.ndarra
         lm, weight, b = sent.value
         reader = Reader(lm, lambda words: _rated(words, weight))
         for batch in batches:
-            x = np.array([_numbers(w, len(w)) for w in map(reader.text, batch.column(at).to_pylist())]).reshape(-1, 4)
+            x = np.array([_numbers(w) for w in map(reader.text, batch.column(at).to_pylist())]).reshape(-1, 4)
             p = 1 / (1 + np.exp(-np.clip(x @ b[:4] + b[4], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*rest, "score", "predicted"])
 
