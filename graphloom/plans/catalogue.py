@@ -118,7 +118,7 @@ def remove_file_counts(g):
 traversal("calls_named_regex", "g2", 'cpg.call.name("p.*|error")', "SELECT id, name FROM g2n WHERE kind = 'CALL' AND regexp_full_match(name, 'p.*|error')", ["id", "name"])
 traversal("name_exact_in", "g1", 'cpg.typeDecl.nameExact("NATION_3", "NATION_7", "NATION_9")', "SELECT id, name FROM g1n WHERE kind = 'TYPE_DECL' AND name IN ('NATION_3', 'NATION_7', 'NATION_9')", ["id", "name"])
 traversal("call_by_code", "g1", 'cpg.call.code("use\\\\(1, .*").code', "SELECT code AS value FROM g1n WHERE kind = 'CALL' AND regexp_full_match(code, 'use\\(1, .*')")
-traversal("callee_hop", "g3", 'cpg.method.name("NATION_1.*").callee.name', "SELECT b.name AS value FROM g3n a JOIN g3e ON src = a.id JOIN g3n b ON dst = b.id WHERE a.name LIKE 'NATION\_1%' ESCAPE '\'")
+traversal("callee_hop", "g3", 'cpg.method.name("NATION_1.*").callee.name', "SELECT b.name AS value FROM g3n a JOIN g3e ON src = a.id JOIN g3n b ON dst = b.id WHERE starts_with(a.name, 'NATION_1')")
 traversal("caller_hop", "g3", "cpg.method.caller.name", "SELECT a.name AS value FROM g3n a JOIN g3e ON src = a.id")
 traversal("callee_twice", "g3", "cpg.method.callee.callee.name", "SELECT c.name AS value FROM g3e x JOIN g3e y ON x.dst = y.src JOIN g3n c ON y.dst = c.id")
 traversal("in_call", "g1", 'cpg.typ.name("ECONOMY.*").inCall.name', "SELECT c.name AS value FROM g1n t JOIN g1e e ON e.dst = t.id AND e.kind = 'ARGUMENT' JOIN g1n c ON c.id = e.src WHERE t.kind = 'TYPE' AND t.name LIKE 'ECONOMY%'")
