@@ -45,13 +45,12 @@ def jump_tables(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if 1 << len(tables) > most:
             raise ValueError("a reply is among its own ancestors")
         tables.append(now.select("tree", "node", "up").where("up IS NOT NULL"))
+        # nodes that have come to their root stay out of the join
         far = now.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        now = kept(
-            now.join(far, ["tree", "up"], "left").select(
-                "tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")
-            ),
-            "chat-jump",
+        onward = now.where("up IS NOT NULL").join(far, ["tree", "up"]).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total")
         )
+        now = kept(now.where("up IS NULL").union(onward), "chat-jump")
     return now.select("tree", "node", "depth", "total"), tables
 
 
