@@ -23,9 +23,10 @@ EDGE = "src long, dst long, kind string, ord int, property string"
 VIRTUAL_FAN_OUT = 16
 
 
-def _edges(pairs, kind: str, names=None) -> pd.DataFrame:
+def _edges(pairs, kind: str) -> pd.DataFrame:
     pairs = sorted(pairs)
-    return pd.DataFrame({"src": [p[0] for p in pairs], "dst": [p[1] for p in pairs], "kind": kind, "ord": range(len(pairs)), "property": [p[2] if len(p) > 2 else None for p in pairs]}).astype({"src": "int64", "dst": "int64", "ord": "int32"})
+    own = {"src": [p[0] for p in pairs], "dst": [p[1] for p in pairs], "kind": [kind] * len(pairs), "ord": range(len(pairs)), "property": [p[2] if len(p) > 2 else None for p in pairs]}
+    return pd.DataFrame({c: pd.Series(v, dtype=t) for (c, v), t in zip(own.items(), ("int64", "int64", object, "int32", object))})
 
 
 # grouped maps
@@ -72,7 +73,7 @@ def control_dependence(graph: Graph) -> DataFrame:
 def _method_rows(graph: Graph) -> DataFrame:
     """Nodes and AST, ARGUMENT and CFG edges of a method in one frame: row 'n' or 'e'."""
     n = graph.nodes.where("method_id IS NOT NULL").select(
-        "method_id", F.lit("n").alias("row"), F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), "kind", F.coalesce("order_", "argument_index", F.lit(0)).alias("ord"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("code", "name", F.lit("")).alias("code")
+        "method_id", F.lit("n").alias("row"), F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"), "kind", F.coalesce("order_", "argument_index", F.lit(0)).alias("ord"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("code", "name", F.lit("")).alias("code")
     )
     e = _by_method(graph, "AST", "ARGUMENT", "CFG").select("method_id", F.lit("e").alias("row"), "src", "dst", "kind", "ord", F.lit("").alias("name"), F.lit("").alias("code"))
     return n.unionByName(e)

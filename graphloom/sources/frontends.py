@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +31,7 @@ class Built:
     nodes: list[dict] = field(default_factory=list)
     edges: list[tuple] = field(default_factory=list)
     counts: dict[int, int] = field(default_factory=dict)
+    bound: set[tuple[int, str]] = field(default_factory=set)
 
     def add(self, kind: str, parent: int | None = None, **columns) -> int:
         i = len(self.nodes)
@@ -43,6 +44,12 @@ class Built:
         n = self.counts[parent] = self.counts.get(parent, 0) + (kind == "AST")
         self.edges.append((parent, i, kind, n))
 
+    def local(self, parent: int, name: str, method: int | None, line: int | None) -> None:
+        """A LOCAL for the first binding of a name in a method that isn't a parameter."""
+        if method is not None and (method, name) not in self.bound:
+            self.bound.add((method, name))
+            self.add("LOCAL", parent, name=name, code=name, method=method, line=line)
+
     def argument(self, call: int, i: int, index: int) -> None:
         self.nodes[i]["argument_index"] = index
         self.edges.append((call, i, "ARGUMENT", index))
@@ -72,6 +79,7 @@ class PythonBuilder(ast.NodeVisitor):
         params = params[1:] if self.owner and params[:1] in (["self"], ["cls"]) else params
         for k, p in enumerate(params, 1):
             self.node("METHOD_PARAMETER_IN", m, n, name=p, code=p, order_=k)
+            self.out.bound.add((m, p))
         self.owner = None
         block = self.node("BLOCK", m, n)
         for s in n.body:
@@ -97,6 +105,8 @@ class PythonBuilder(ast.NodeVisitor):
             if s.value is not None:
                 name = f"{_OPS.get(type(s.op), '?')}=" if isinstance(s, ast.AugAssign) else "="
                 for t in targets:
+                    if isinstance(t, ast.Name):
+                        self.out.local(parent, t.id, self.method, s.lineno)
                     self.call(name, s, parent, [t, s.value])
         elif isinstance(s, ast.Expr):
             self.value(s.value, parent)
@@ -366,6 +376,7 @@ class BraceBuilder:
         self.out.nodes[m]["method"] = m
         for k, (n, t) in enumerate(self.parameters(p, end), 1):
             self.node("METHOD_PARAMETER_IN", m, name=n, code=n, order_=k, type_full_name=t)
+            self.out.bound.add((m, n))
         self.i = body
         old_owner, self.owner = self.owner, None
         self.block(m, self.spec.tail_return)
@@ -434,6 +445,7 @@ class BraceBuilder:
         if len(names) > 1 and names[-1] > self.i and (self.t[names[-1] - 1][0] == "name" or self.t[names[-1] - 1][1] in ("*", "&", ">", ":")):
             typed_first = not any(self.t[k][1] == ":" for k in range(self.i, j))
             if after in (";", ",") or after == "":
+                self.out.local(parent, self.t[names[-1]][1], self.method, self.t[names[-1]][2])
                 self.i = j
                 return
             if after in ("=", ":="):
@@ -442,6 +454,10 @@ class BraceBuilder:
                 return
             if after == "(" and typed_first and self.t[names[-1] - 1][0] == "name":  # T x(args): direct initialisation
                 self.i = names[-1]
+        if self.i > start and self.kind() == "name" and self.at(1) == "=":
+            self.out.local(parent, self.at(), self.method, self.line())
+        elif self.kind() == "name" and self.at(1) == ":=":
+            self.out.local(parent, self.at(), self.method, self.line())
         got = self.value(parent)
         if tail is not None and self.i >= tail and self.out.nodes[got]["kind"] in ("CALL", "IDENTIFIER", "LITERAL"):
             line = self.out.nodes[got].get("line")
@@ -451,6 +467,7 @@ class BraceBuilder:
             self.out.argument(r, got, 1)
 
     def assignment(self, parent: int, target, j: int, start: int) -> None:
+        self.out.local(parent, target[1], self.method, target[2])
         c = self.node("CALL", parent, name="=")
         x = self.node("IDENTIFIER", c, name=target[1], code=target[1])
         self.out.argument(c, x, 1)
@@ -650,22 +667,28 @@ def build_graph(files: DataFrame, exclude: tuple[str, ...] = ()) -> Graph:
         files = files.where(~F.col("path").contains(part))
     files = with_language(files)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for f, path, text, lang in zip(batch["file_id"], batch["path"], batch["text"], batch["language"]):
-                got, base = build(path, text, lang), int(f) * ROOM
-                nodes = [{**n, "id": base + n["id"], "file_id": f, "method_id": None if n.get("method") is None else base + n["method"]} for n in got.nodes]
-                edges = [(base + a, base + b, k, o) for a, b, k, o in got.edges]
-                yield pd.DataFrame({"nodes": [[_row(n) for n in nodes]], "edges": [edges]})
-
-    def _row(n: dict) -> tuple:
-        return tuple(n.get(c) for c in columns)
-
     columns = [x.split()[0] for x in _NODE_ROW.split(", ")]
-    struct = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in _NODE_ROW.split(", "))
-    built = kept(files.mapInPandas(rows, f"nodes array<struct<{struct}>>, edges array<struct<src: bigint, dst: bigint, kind: string, ord: int>>".replace(": long", ": bigint")), "built")
-    nodes = built.select(F.explode("nodes").alias("n")).select("n.*").withColumn("order_presence", F.when(F.col("order_").isNull(), "Absent").otherwise("Present"))
-    edges = built.select(F.explode("edges").alias("e")).select("e.*")
+    kinds = dict(zip(columns, (x.split()[1] for x in _NODE_ROW.split(", "))))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in [*columns, "src", "dst", "edge", "ord"]}
+            for f, path, text, lang in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("file_id", "path", "text", "language"))):
+                got, base = build(path, text, lang), f * ROOM
+                for n in got.nodes:
+                    n = {**n, "id": base + n["id"], "file_id": f, "method_id": None if n.get("method") is None else base + n["method"]}
+                    for c in out:
+                        out[c].append(n.get(c))
+                for src, dst, kind, place in got.edges:
+                    for c in out:
+                        out[c].append({"src": base + src, "dst": base + dst, "edge": kind, "ord": place}.get(c))
+            more = {"src": pa.int64(), "dst": pa.int64(), "edge": pa.string(), "ord": pa.int32()}
+            yield pa.RecordBatch.from_arrays([pa.array(v, more.get(c) or types[kinds[c]]) for c, v in out.items()], names=list(out))
+
+    built = kept(files.mapInArrow(rows, _NODE_ROW + ", src long, dst long, edge string, ord int"), "built")
+    nodes = built.where("edge IS NULL").withColumn("order_presence", F.when(F.col("order_").isNull(), "Absent").otherwise("Present"))
+    edges = built.where("edge IS NOT NULL").select("src", "dst", F.col("edge").alias("kind"), "ord")
     return Graph(shaped(nodes, NODES), shaped(edges, EDGES), shaped(files, FILES))
 
 
