@@ -12,12 +12,12 @@ documents, and only order is at stake, never results.
 3. `_postings`: the leading tokens of each set, by hash range; tokens of a single set are dropped there. Runs of up
    to `FULL_RUN` sets give all their pairs with counts; longer runs link their sets with the smallest (a star) and
    with a set picked by hash.
-4. Candidate pairs are verified on whole sets, next to the smaller set of the pair, and linked sets form groups:
-   the partition of similar documents.
-5. `_open_groups`: what runs over `FULL_RUN` may still hide is sought with the token-group matrix. For each group,
-   cut into blocks of about `BLOCK` sets, the union of all its tokens is stored; a set of another group that shares
-   a leading token with the block is held against the union first, and only if at least t n of its n tokens are
-   there are the block's sets opened and compared one by one.
+4. Candidate pairs are verified on whole sets, next to the smaller set of the pair; linked sets get one label.
+5. `_open_groups`: what runs over `FULL_RUN` may still hide is sought with the token-group matrix. Sets are grouped
+   by the smallest hub of their runs, linked or not, and groups are cut into blocks of about `BLOCK` sets. For each
+   block the union of all its tokens is stored; a set of a later block that shares k leading tokens with the block's
+   union of leading tokens (no similar set shares fewer) is held against the union of all tokens, and only if at
+   least t n of its n tokens are there are the block's sets opened and compared.
 
 No pair of a large group is enumerated: stars are linear, and a set meets other groups, not its own. A token's run
 is handled by one task as hashes (8 bytes a set), never as texts.
@@ -41,7 +41,7 @@ from .common import dropped, kept, small_batches
 from .components import components
 
 WORDS, SIMILAR = 5, (4, 5)  # shingle length; similarity as a fraction
-MOST_FREQUENT, LEAST_FREQUENT, FULL_RUN, BLOCK = 1 << 21, 64, 8, 64
+MOST_FREQUENT, LEAST_FREQUENT, FULL_RUN, BLOCK = 1 << 21, 64, 8, 128
 RANGE_TOKENS = 1 << 20
 FLUSH = 1 << 20
 KEYS_SENT = 1 << 20
@@ -303,55 +303,66 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _open(key: tuple, table: pa.Table) -> pa.Table:
     """A block of the token-group matrix: its sets (role 0), their union, and the sets held against it (role 1)."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("role", "key", "n", "tokens"))))
-    own = {k: (n, np.frombuffer(t, np.uint64)) for role, k, n, t in rows if role == 0}
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("role", "key", "n", "tokens", "linked"))))
+    own = {k: (n, np.frombuffer(t, np.uint64), c) for role, k, n, t, c in rows if role == 0}
     names, out = list(own), []
     if own:
-        pool = np.concatenate([t for _, t in own.values()])
-        owner = np.repeat(np.arange(len(own)), [len(t) for _, t in own.values()])
+        pool = np.concatenate([t for _, t, _ in own.values()])
+        owner = np.repeat(np.arange(len(own)), [len(t) for _, t, _ in own.values()])
         by = np.argsort(pool, kind="stable")
         pool, owner = pool[by], owner[by]
         union = pool[np.r_[True, pool[1:] != pool[:-1]]]
-        sizes = np.array([n for n, _ in own.values()])
-        for role, k, n, t in rows:
-            if role == 1 and k not in own:
+        sizes, linked = np.array([n for n, _, _ in own.values()]), np.array([c for _, _, c in own.values()])
+        for role, k, n, t, c in rows:
+            if role == 1:
                 tokens = np.frombuffer(t, np.uint64)
                 at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
                 if (union[at] == tokens).sum() < needed(n):
                     continue  # no set of the block can be similar
                 both = _overlaps(tokens, pool, owner, len(own))
-                good = np.flatnonzero(similar(both, n, sizes))
-                out += [(names[i], k) for i in good[:1]]  # the block's sets are of one group: one link joins them all
+                good = np.flatnonzero(similar(both, n, sizes) & (linked != c))
+                _, first = np.unique(linked[good], return_index=True)  # one link joins all sets that are linked already
+                out += [(names[i], k) for i in good[first]]
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def _open_groups(runs: DataFrame, labels: DataFrame, sets_of) -> DataFrame | None:
-    """Links between groups that stars have not found, by the token-group matrix; None if no set meets another group."""
+def _open_groups(runs: DataFrame, short: DataFrame, labels: DataFrame, sets_of) -> DataFrame | None:
+    """Links that stars have not found, by the token-group matrix; None if no set meets a block with others than its own linked ones.
+
+    A set's group is the smallest hub that it shares a long run with, so the sets of a cluster are grouped whether
+    they are linked or not; groups are cut into blocks by hash. Of two blocks the later one's sets ask the earlier.
+    """
     post = runs.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("key"), F.col("na").alias("n"))
-    post = post.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    mixed = post.groupBy("token").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("token")
+    post = post.join(labels.select(F.col("node").alias("key"), F.col("comp").alias("linked")), "key", "left").withColumn("linked", F.coalesce("linked", "key"))
+    mixed = post.groupBy("token").agg(F.min("linked").alias("_x"), F.max("linked").alias("_y")).where("_x <> _y").select("token")
     post = kept(post.join(mixed, "token", "left_semi"), "jac-mixed")
     if post.isEmpty():
         return None
-    sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    blocks = post.select("key", "n", "comp").distinct().join(sizes, "comp", "left")
-    parts = F.greatest(F.ceil(F.coalesce("members", F.lit(1)) / BLOCK), F.lit(1))
-    member = kept(blocks.select("key", "n", "comp", F.pmod(F.xxhash64("key"), parts).cast("int").alias("block")), "jac-blocks")
-    grouped = post.select("token", "key").join(member, "key")
-    group = grouped.groupBy("token", "comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    hubs = runs.where("kind = 1").groupBy(F.col("b").alias("key")).agg(F.min("a").alias("comp"))
+    member = post.select("key", "n", "linked").distinct().join(hubs, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    parts = member.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
+    member = kept(member.join(parts, "comp").select("key", "n", "linked", "comp", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int").alias("block")), "jac-blocks")
+    grouped = kept(post.select("token", "key").join(member, "key"), "jac-grouped")
+    group = grouped.groupBy("token", "comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("linked").alias("_x"), F.max("linked").alias("_y"))
     p, q = SIMILAR
-    ask = grouped.select("token", "key", "n", F.col("comp").alias("_comp")).join(group, "token").where((F.col("_comp") != F.col("comp")) & (F.col("n") * q >= F.col("low") * p) & (F.col("n") * p <= F.col("high") * q))
-    ask = kept(ask.select("key", "comp", "block").distinct(), "jac-asks")
+    later = (F.col("_comp") > F.col("comp")) | ((F.col("_comp") == F.col("comp")) & (F.col("_block") >= F.col("block")))
+    fits = (F.col("n") * q >= F.col("low") * p) & (F.col("n") * p <= F.col("high") * q)
+    other = (F.col("_x") != F.col("linked")) | (F.col("_y") != F.col("linked"))
+    ask = grouped.select("token", "key", "n", "linked", F.col("comp").alias("_comp"), F.col("block").alias("_block")).join(group, "token").where(later & fits & other)
+    # shared leading tokens: those of long runs with the block's union, and those of short runs with its sets
+    both = short.select(F.col("a").alias("x"), F.col("b").alias("key"), "shared").union(short.select("b", "a", "shared"))
+    also = both.join(member.select("key", "comp", "block"), "key").select(F.col("x").alias("key"), "comp", "block", "shared", F.lit(None).cast("long").alias("n"))
+    shares = ask.select("key", "comp", "block", F.lit(1).cast("long").alias("shared"), "n").union(also).groupBy("key", "comp", "block").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"))
+    least = F.floor((F.col("n") * p + q - 1) / q)
+    ask = kept(shares.where(F.col("n").isNotNull() & (F.col("shared") >= 1 + F.floor(least / 16))).select("key", "comp", "block"), "jac-asks")
     if ask.isEmpty():
         return None
-    open_ = ask.select("comp", "block").distinct()
-    inside = member.join(open_, ["comp", "block"]).select("comp", "block", F.lit(0).alias("role"), "key", F.lit(0).alias("salt"))
-    cuts = ask.groupBy("comp", "block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)), F.lit(1)).cast("int").alias("_parts"))
-    asks = ask.join(cuts, ["comp", "block"]).select("comp", "block", F.lit(1).alias("role"), "key", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int").alias("salt"))
-    inside = inside.join(cuts, ["comp", "block"]).select("comp", "block", "role", "key", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("salt"))
+    cuts = ask.groupBy("comp", "block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)), F.lit(1)).cast("int").alias("_parts"))
+    asks = ask.join(cuts, ["comp", "block"]).join(member.select("key", "linked"), "key").select("comp", "block", F.lit(1).alias("role"), "key", "linked", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int").alias("salt"))
+    inside = member.join(cuts, ["comp", "block"]).select("comp", "block", F.lit(0).alias("role"), "key", "linked", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("salt"))
     rows = kept(inside.union(asks), "jac-open")
     sets = sets_of(rows.select("key").distinct())
-    return rows.join(sets, "key").select("comp", "block", "salt", "role", "key", "n", "tokens").groupBy("comp", "block", "salt").applyInArrow(_open, "a long, b long")
+    return rows.join(sets, "key").select("comp", "block", "salt", "role", "key", "linked", "n", "tokens").groupBy("comp", "block", "salt").applyInArrow(_open, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -368,13 +379,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     frequent = spark.sparkContext.broadcast((hot[:, 0].astype(np.uint64), np.log2(np.maximum(hot[:, 1], 1)).astype(np.int64)))
     runs = kept(_postings(docs, bits, frequent).groupBy("part").applyInArrow(_runs, "a long, b long, na long, nb long, shared long, kind byte"), "jac-runs")
     least = F.least(F.col("na"), F.col("nb"))
-    short = runs.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("shared") >= 1 + F.floor(least / 16))
-    pairs = kept(short.select("a", "b").union(runs.where("kind = 1").select("a", "b")).distinct(), "jac-pairs")
+    short = runs.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    short = kept(short.select("a", "b", "shared", (F.col("shared") >= 1 + F.floor(least / 16)).alias("enough")), "jac-short")
+    pairs = kept(short.where("enough").select("a", "b").union(runs.where("kind = 1").select("a", "b")).distinct(), "jac-pairs")
     sets_of = lambda wanted: _chosen_sets(docs, wanted, classes)
     keys = kept(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "jac-keys")
     links = kept(_verified(pairs, sets_of(keys)), "jac-links")
     labels = components(links)
-    more = _open_groups(runs, labels, sets_of)
+    more = _open_groups(runs, short, labels, sets_of)
     if more is not None:
         more = kept(more, "jac-links")
         if not more.isEmpty():
@@ -387,8 +399,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, that with the smallest id; documents without words all stay."""
-    keep = jaccard_components(docs).where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias("_id")).distinct()
+    """One document of each component stays, that with the smallest id (all rows of it, if it repeats); documents without words all stay."""
+    keep = jaccard_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
 
 
