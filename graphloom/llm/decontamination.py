@@ -262,7 +262,7 @@ def without_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         F.sequence(F.lit(0), n),
         lambda i: F.decode(
             F.substring(raw, F.when(i == 0, F.lit(1)).otherwise(F.get("spans", i - 1)["end"] + 1).cast("int"), (F.when(i == n, F.octet_length(text).cast("long")).otherwise(F.get("spans", i)["start"]) - F.when(i == 0, F.lit(0)).otherwise(F.get("spans", i - 1)["end"])).cast("int")),
-            F.lit("UTF-8"),
+            "UTF-8",
         ),
     )
     return docs.withColumn(text, F.when(n > 0, F.array_join(keep, "")).otherwise(F.col(text)))

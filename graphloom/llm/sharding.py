@@ -4,7 +4,7 @@ Units start in a shard by the hash of their key. In every round each linked unit
 join of links and units), and, if more of them are in another shard than in its own, asks to move there; half of
 the units, by hash, may move in a round, so that neighbours don't swap. A shard takes movers, those with most to
 gain first, up to its quota: what is left under (1 + slack) of an even share. At last units without links, then
-others, move from shards above the even share to those below it, in `BALANCE` passes that take ever smaller units.
+others, move from shards above the even share to those below it, in passes (`BALANCE`) by size.
 
 Links here are stars: the smallest unit of each group of equal texts is linked with the others, so a group's links
 grow with its size, not its square. A group larger than a shard's quota is split. No shard or group is collected:
@@ -22,7 +22,7 @@ from pyspark.sql.window import Window as W
 
 from .common import dropped, kept, running_total
 
-SHARDS, SLACK, ROUNDS, BALANCE = 8, 0.02, 3, 4
+SHARDS, SLACK, ROUNDS, BALANCE = 8, 0.05, 5, (8, 8, 4, 2, 1, 1)
 ROWS_A_BUCKET = 2000
 
 
@@ -71,14 +71,15 @@ def propagate(units: DataFrame, links: DataFrame, shards: int = SHARDS, slack: f
 
 
 def balance(units: DataFrame, shards: int, buckets: int) -> DataFrame:
-    """Moves units from shards above the even share to those below; a pass takes units of an eighth of the excess at most."""
-    for r in range(BALANCE):
+    """Moves units from shards above the even share to those below. A pass takes units of a part of the excess at most: many
+    small ones first, at last single ones that fill what is left. A shard gives no more than its excess."""
+    for r, part in enumerate(BALANCE):
         now = loads(units, shards)
         even = sum(now) // shards
         over = [max(0, x - even) for x in now]
         if max(over) * 1000 <= even:
             break
-        limit = [max(1, x // 8) for x in over]
+        limit = [max(1, x // part) for x in over]
         spare = units.withColumn("to", F.col("shard")).where((_by_shard(over) > 0) & (F.col("size") <= _by_shard(limit)))
         spare = spare.withColumn("_bucket", F.when(F.col("linked"), buckets).otherwise(0) + _salt("uid", F.lit(100 + r)) % buckets)
         run = running_total(spare, ["to"], "_bucket", ["uid"], "size", "before").where(F.col("before") + F.col("size") <= _by_shard(over))
