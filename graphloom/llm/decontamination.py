@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .bytewords import ALNUM_CUT, buffer_of, words_of
 from .common import small_batches
 
-WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 4 << 20, 16 << 20, 16
+WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 4 << 20, 1 << 20, 16
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
