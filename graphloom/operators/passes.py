@@ -41,7 +41,7 @@ def _by_method(graph: Graph, *kinds: str) -> DataFrame:
 def dominators(graph: Graph, cfg: DataFrame | None = None) -> DataFrame:
     """DOMINATE edges (immediate dominator, node) of every method's control flow."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         idom = kernels.immediate_dominators(key[0], zip(rows["src"], rows["dst"]))
         return _edges([(d, n) for n, d in idom.items()], "DOMINATE")
 
@@ -103,7 +103,7 @@ def _read_method(rows: pd.DataFrame):
 def control_flow(graph: Graph) -> DataFrame:
     """CFG edges from the trees."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         nodes, _, _, exit_ = _read_method(rows)
         if exit_ is None or key[0] not in nodes:
             return _edges([], "CFG")
@@ -115,7 +115,7 @@ def control_flow(graph: Graph) -> DataFrame:
 def reaching_definitions(graph: Graph) -> DataFrame:
     """REACHING_DEF edges with the variable as property."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         nodes, args, cfg, exit_ = _read_method(rows)
         if exit_ is None or key[0] not in nodes or not cfg:
             return _edges([], "REACHING_DEF")
@@ -131,7 +131,7 @@ def reaching_definitions(graph: Graph) -> DataFrame:
 def last_definitions(graph: Graph) -> DataFrame:
     """(node, definition): which calls' definitions reach a call, when a call defines its name and kills others of it."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         nodes, _, cfg, _ = _read_method(rows)
         same: dict[str, set[int]] = {}
         calls = [i for i, n in nodes.items() if n.kind == "CALL"]
