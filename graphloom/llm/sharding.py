@@ -1,14 +1,17 @@
 """Sharding by balanced label propagation. DataFrame functions only.
 
-Units start in a shard by the hash of their key. In every round each linked unit looks at its neighbours' shards (a
-join of links and units), and, if more of them are in another shard than in its own, asks to move there; half of
-the units, by hash, may move in a round, so that neighbours don't swap. A shard takes movers, those with most to
-gain first, up to its quota: what is left under (1 + slack) of an even share. At last units without links, then
-others, move from shards above the even share to those below it, in passes (`BALANCE`) by size.
-
-Links here are stars: the smallest unit of each group of equal texts is linked with the others, so a group's links
-grow with its size, not its square. A group larger than a shard's quota is split. No shard or group is collected:
-quotas are cut on sums of buckets, and slots are numbered within buckets. The driver sees one sum for each shard.
+Units start in a shard by the hash of their key. Links are stars: the smallest unit of each group of equal texts is the
+hub of the others, so a group's links grow with its size, not its square. In a round either hubs ask to move where most
+of their spokes are, or spokes to where their hub is. No two of those that ask are neighbours, so each move leaves
+fewer links cut, and rounds go on until none is admissible. Then groups that are still cut move as a whole to a shard that
+can take all of them, again until none can. A shard takes movers, those with most to gain first, up to its quota:
+(1 + slack) of an even share, less the linked units that it has. Units without links make way: at last they move from
+shards above the even share to those below it, in passes (`BALANCE`) by size; where they don't suffice, whole groups
+move, then units of cut groups. The balance cuts no group; shards of whole groups alone may stay apart by up to the slack.
+
+Cut are groups larger than a shard's quota, and those for which no shard has enough room left. No shard or group is
+collected: quotas are cut on sums of buckets, and slots are numbered within buckets. The driver sees a few sums for
+each shard.
 
 Null texts are equal texts of no bytes. Repeated rows (same id and text) are one unit and stay together. Null ids
 are allowed. Empty tables give empty results. Columns beside those named are ignored.
@@ -22,7 +25,7 @@ from pyspark.sql.window import Window as W
 
 from .common import dropped, kept, running_total
 
-SHARDS, SLACK, ROUNDS, BALANCE = 8, 0.05, 5, (8, 8, 4, 2, 1, 1)
+SHARDS, SLACK, BALANCE = 8, 0.05, (8, 8, 4, 2, 1, 1)
 ROWS_A_BUCKET = 2000
 
 
@@ -40,49 +43,91 @@ def _by_shard(values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("to") + 1)
 
 
-def propagate(units: DataFrame, links: DataFrame, shards: int = SHARDS, slack: float = SLACK, rounds: int = ROUNDS) -> DataFrame:
-    """units (uid, size, linked), links (src, dst) in both directions, to (uid, size, linked, shard).
+def _hub_asks(linked: DataFrame, room: list[float]) -> DataFrame:
+    """(uid, size, to, gain): hubs that have more spokes in a shard with room than in their own."""
+    hubs = linked.where("uid = hub").select("hub", F.col("size").alias("_size"), F.col("shard").alias("_own"))
+    votes = linked.where("uid <> hub").groupBy("hub", F.col("shard").alias("to")).agg(F.count(F.lit(1)).alias("votes"))
+    seen = votes.join(hubs, "hub").withColumn("_here", F.col("to") == F.col("_own")).where(F.col("_here") | (F.col("_size") <= _by_shard(room)))
+    best = seen.groupBy(F.col("hub").alias("uid")).agg(
+        F.max(F.struct("votes", "_here", (-F.col("to")).alias("to"))).alias("best"), F.coalesce(F.max(F.when(F.col("_here"), F.col("votes"))), F.lit(0)).alias("here"), F.first("_size").alias("size")
+    )
+    return best.select("uid", "size", (-F.col("best.to")).alias("to"), (F.col("best.votes") - F.col("here")).alias("gain")).where("gain > 0")
+
+
+def _spoke_asks(linked: DataFrame, room: list[float]) -> DataFrame:
+    """(uid, size, to, gain): spokes that aren't where their hub is, if it has room."""
+    hubs = linked.where("uid = hub").select("hub", F.col("shard").alias("to"))
+    return linked.where("uid <> hub").join(hubs, "hub").where(F.col("to") != F.col("shard")).where(F.col("size") <= _by_shard(room)).select("uid", "size", "to", F.lit(1).alias("gain"))
+
+
+def _group_asks(linked: DataFrame, room: list[float], shards: int) -> DataFrame:
+    """(hub, size, to, gain): cut groups to the shard that has most of them, of those that can take the rest, which is size."""
+    parts = linked.groupBy("hub").agg(F.sum("size").alias("all"), F.countDistinct("shard").alias("k"), *[F.coalesce(F.sum(F.when(F.col("shard") == s, F.col("size"))), F.lit(0)).alias(f"_{s}") for s in range(shards)]).where("k > 1")
+    fits = [F.when(F.col("all") - F.col(f"_{s}") <= F.lit(room[s]), F.struct(F.col(f"_{s}").alias("has"), F.lit(-s).alias("to"))) for s in range(shards)]
+    best = parts.withColumn("best", F.array_max(F.array(*fits))).where("best IS NOT NULL")
+    return best.select("hub", (F.col("all") - F.col("best.has")).alias("size"), (-F.col("best.to")).alias("to"), F.lit(1).alias("gain"))
+
+
+def _admitted(asks: DataFrame, key: str, room: list[float], urgency: Column, buckets: int) -> DataFrame:
+    """(key, _new): those that a shard has room for. The first that asks for a shard fits, so some do if any ask."""
+    asks = asks.withColumn("_bucket", urgency * buckets + _salt(key, F.lit(-1)) % buckets)
+    run = running_total(asks, ["to"], "_bucket", [key], "size", "before")
+    return run.where(F.col("before") + F.col("size") <= _by_shard(room)).select(key, F.col("to").alias("_new"))
+
+
+def _moved(linked: DataFrame, moves: DataFrame, key: str) -> tuple[DataFrame, bool]:
+    """linked after the moves, and whether there were any."""
+    after = linked.drop("moved").join(moves, key, "left").withColumn("moved", F.coalesce(F.col("_new") != F.col("shard"), F.lit(False)))
+    after = kept(after.select("uid", "size", "hub", F.coalesce("_new", "shard").alias("shard"), "moved"), "lpa-linked")
+    dropped(linked.sparkSession, linked)
+    return after, bool(after.agg(F.max("moved")).first()[0])
+
+
+def propagate(units: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
+    """units (uid, size, hub), where hub is null for units without links, to (uid, size, hub, shard).
 
     Only linked units take part in the rounds; the others are joined in again for the balance.
     """
     n = units.count()
     buckets = max(1, -(-n // ROWS_A_BUCKET))
-    units = kept(units.withColumn("shard", (_salt("uid") % shards).cast("int")), "lpa-units")
-    for r in range(rounds):
-        now = loads(units, shards)
-        room = (1 + slack) * sum(now) / shards
-        active = units.where("linked")
-        seen = links.join(active.select(F.col("uid").alias("dst"), F.col("shard").alias("to")), "dst").groupBy(F.col("src").alias("uid"), "to").agg(F.count(F.lit(1)).alias("votes"))
-        asks = seen.join(active, "uid").groupBy("uid").agg(
-            F.max(F.struct("votes", (F.col("to") == F.col("shard")).alias("own"), (-F.col("to")).alias("to"))).alias("best"),
-            F.coalesce(F.max(F.when(F.col("to") == F.col("shard"), F.col("votes"))), F.lit(0)).alias("here"),
-            F.first("size").alias("size"),
-        )
-        asks = asks.select("uid", "size", (-F.col("best.to")).alias("to"), (F.col("best.votes") - F.col("here")).alias("gain"), F.col("best.own").alias("own"))
-        asks = asks.where(~F.col("own") & (F.col("gain") > 0) & (_salt("uid", F.lit(r)) % 2 == 0))
+    units = kept(units.select("uid", "size", "hub", (_salt("uid") % shards).cast("int").alias("shard")), "lpa-units")
+    quota = (1 + slack) * sum(loads(units, shards)) / shards
+    linked = kept(units.where("hub IS NOT NULL").withColumn("moved", F.lit(False)), "lpa-linked")
+    free = lambda: [max(0.0, quota - x) for x in loads(linked, shards)]
+    hubs, idle = True, 0
+    while idle < 2:
+        room = free()
+        asks = _hub_asks(linked, room) if hubs else _spoke_asks(linked, room)
         urgency = 20 - F.least(F.floor(F.log2(F.col("gain"))), F.lit(20))
-        asks = asks.withColumn("_bucket", urgency * buckets + _salt("uid", F.lit(-1)) % buckets)
-        run = running_total(asks, ["to"], "_bucket", ["uid"], "size", "before")
-        moves = run.where(F.col("before") + F.col("size") <= _by_shard([max(0.0, room - x) for x in now])).select("uid", F.col("to").alias("_new"))
-        after = kept(units.join(moves, "uid", "left").withColumn("shard", F.coalesce("_new", "shard")).drop("_new"), "lpa-units")
-        dropped(units.sparkSession, units)
-        units = after
-    return balance(units, shards, buckets)
+        linked, any_moved = _moved(linked, _admitted(asks, "uid", room, urgency, buckets), "uid")
+        hubs, idle = not (hubs or any_moved), 0 if any_moved else idle + 1
+    any_moved = True
+    while any_moved:
+        room = free()
+        asks = _group_asks(linked, room, shards)
+        linked, any_moved = _moved(linked, _admitted(asks, "hub", room, F.floor(F.log2(F.col("size"))), buckets), "hub")
+    placed = kept(units.where("hub IS NULL").unionByName(linked.drop("moved")), "lpa-units")
+    dropped(units.sparkSession, units)
+    dropped(units.sparkSession, linked)
+    return balance(placed, shards, buckets)
 
 
 def balance(units: DataFrame, shards: int, buckets: int) -> DataFrame:
-    """Moves units from shards above the even share to those below. A pass takes units of a part of the excess at most: many
-    small ones first, at last single ones that fill what is left. A shard gives no more than its excess."""
+    """Moves units and whole groups from shards above the even share to those below. A pass takes items of a part of the excess
+    at most: many small ones first, at last single ones that fill what is left. A shard gives no more than its excess."""
+    groups = units.where("hub IS NOT NULL").groupBy("hub").agg((F.min("shard") == F.max("shard")).alias("_whole"))
+    units = kept(units.join(groups, "hub", "left").select("uid", "size", "hub", "shard", F.when(F.col("_whole"), F.col("hub")).otherwise(F.col("uid")).alias("item"), F.when(F.col("_whole"), 1).when(F.col("hub").isNull(), 0).otherwise(2).alias("class")), "lpa-balance")
+    items = kept(units.groupBy("item", "class", "shard").agg(F.sum("size").alias("size")), "lpa-items")
     for r, part in enumerate(BALANCE):
-        now = loads(units, shards)
+        now = loads(items, shards)
         even = sum(now) // shards
         over = [max(0, x - even) for x in now]
         if max(over) * 1000 <= even:
             break
         limit = [max(1, x // part) for x in over]
-        spare = units.withColumn("to", F.col("shard")).where((_by_shard(over) > 0) & (F.col("size") <= _by_shard(limit)))
-        spare = spare.withColumn("_bucket", F.when(F.col("linked"), buckets).otherwise(0) + _salt("uid", F.lit(100 + r)) % buckets)
-        run = running_total(spare, ["to"], "_bucket", ["uid"], "size", "before").where(F.col("before") + F.col("size") <= _by_shard(over))
+        spare = items.withColumn("to", F.col("shard")).where((_by_shard(over) > 0) & (F.col("size") <= _by_shard(limit)))
+        spare = spare.withColumn("_bucket", F.col("class") * buckets + _salt("item", F.lit(100 + r)) % buckets)
+        run = running_total(spare, ["to"], "_bucket", ["item"], "size", "before").where(F.col("before") + F.col("size") <= _by_shard(over))
         starts = [sum(over[:s]) for s in range(shards)]
         at = _by_shard(starts) + F.col("before") + F.col("size") / 2  # a place on the line of all excess, dealt out to the shards that have room
         line, new = 0, F.lit(None).cast("int")
@@ -90,11 +135,11 @@ def balance(units: DataFrame, shards: int, buckets: int) -> DataFrame:
             if x < even:
                 new = F.coalesce(new, F.when((at >= line) & (at < line + even - x), s))
                 line += even - x
-        moves = run.select("uid", new.alias("_new")).where(F.col("_new").isNotNull())
-        after = kept(units.join(moves, "uid", "left").withColumn("shard", F.coalesce("_new", "shard")).drop("_new"), "lpa-units")
-        dropped(units.sparkSession, units)
-        units = after
-    return units
+        moves = run.select("item", new.alias("_new")).where(F.col("_new").isNotNull())
+        after = kept(items.join(moves, "item", "left").withColumn("shard", F.coalesce("_new", "shard")).drop("_new"), "lpa-items")
+        dropped(units.sparkSession, items)
+        items = after
+    return units.drop("shard").join(items.select("item", "shard"), "item").select("uid", "size", "hub", "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,10 +152,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
     rows = kept(rows.withColumn("uid", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "group")), "shard-rows")
     units = rows.groupBy("uid", "group").agg(F.sum("size").alias("size"))
     groups = kept(units.groupBy("group").agg(F.min("uid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "hub"), "shard-groups")
-    units = kept(units.join(groups, "group", "left").select("uid", "size", F.col("hub").isNotNull().alias("linked"), "hub"), "shard-units")
-    spokes = units.where("hub IS NOT NULL AND hub <> uid").select(F.col("uid").alias("src"), F.col("hub").alias("dst"))
-    links = kept(spokes.union(spokes.select("dst", "src")), "shard-links")
-    placed = propagate(units.select("uid", "size", "linked"), links, shards)
+    units = kept(units.join(groups, "group", "left").select("uid", "size", "hub"), "shard-units")
+    placed = propagate(units, shards)
     buckets = max(1, -(-rows.count() // ROWS_A_BUCKET))
     out = rows.join(placed.select("uid", "shard"), "uid").withColumn("_one", F.lit(1)).withColumn("_bucket", _salt("uid", F.lit(7)) % buckets)
     out = running_total(out, ["shard"], "_bucket", ["uid"], "_one", "slot")
