@@ -151,11 +151,12 @@ def calls_matching(graph: Graph, specs: tuple[str, ...]) -> DataFrame:
     return graph.calls().join(table, "name").where("(_r IS NULL OR receiver_name = _r) AND (NOT _bare OR receiver_name IS NULL)").select("id", "k")
 
 
-def find_flows(graph: Graph, spec: TaintSpec, max_depth: int = 40) -> DataFrame:
+def find_flows(graph: Graph, spec: TaintSpec, max_depth: int | None = None) -> DataFrame:
     """findings (method, sink, sink_line, origin, path, depth): for each pair of source and sink the shortest witness.
 
     Paths climb out of methods first and go down into callees afterwards, and pass over calls by their summaries, so
-    a value never returns to another caller than it came from. A sanitizer's call is a cut in the graph.
+    a value never returns to another caller than it came from. A sanitizer's call is a cut in the graph. Witnesses of
+    any length are found; with max_depth those of more steps are not.
     """
     args, params = positions(graph)
     cut = graph.calls().where(F.col("name").isin([_split(s)[0] for s in spec.sanitizers])).select("id") if spec.sanitizers else None

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .storage import kept
 
 
+def _merged(seen: DataFrame, depth: int, every: int = 8) -> DataFrame:
+    """seen, written as one table every few rounds, so that long walks don't read a table for each round."""
+    return kept(seen, "seen") if depth % every == 0 else seen
+
+
 def reach(seed: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, max_depth: int | None = None, stop_at: DataFrame | None = None) -> DataFrame:
     """(origin, node, depth): what each origin reaches over edges (src, dst), itself at depth 0, with the least depth.
 
@@ -31,7 +36,7 @@ def reach(seed: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, m
             leave = leave.join(stop_at.select(F.col(stop_at.columns[0]).alias("node")), "node", "left_anti")
         new = leave.join(steps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
         frontier = kept(new.join(seen, ["origin", "node"], "left_anti").select("origin", "node", F.lit(depth).alias("depth")), "reach")
-        seen = seen.union(frontier)
+        seen = _merged(seen.union(frontier), depth)
     return seen
 
 
@@ -48,21 +53,21 @@ def closure(pairs: DataFrame) -> DataFrame:
         n = now
 
 
-def shortest_paths(seed: DataFrame, edges: DataFrame, targets: DataFrame, blocked: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+def shortest_paths(seed: DataFrame, edges: DataFrame, targets: DataFrame, blocked: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(origin, node, depth, path): for each origin and target reached the least path, by length, then by ids.
 
     Only the nodes that the targets can be reached from are walked (a reverse pass comes first), and each pair
-    (origin, node) keeps one path.
+    (origin, node) keeps one path, so that cycles end without max_depth.
     """
     back = reach(targets.select(F.col(targets.columns[0]).alias("origin")).select("origin", F.col("origin").alias("node")), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), blocked, max_depth)
     useful = kept(back.select("node").distinct(), "useful")
     steps = kept(edges.select("src", "dst").distinct().join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "steps")
     frontier = kept(seed.select("origin", "node").distinct().join(useful, "node", "left_semi").select("origin", "node", F.lit(0).alias("depth"), F.array("node").alias("path")), "paths")
     seen, depth = frontier, 0
-    while not frontier.isEmpty() and depth < max_depth:
+    while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
         new = frontier.join(steps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         new = new.groupBy("origin", "node").agg(F.min("path").alias("path")).join(seen, ["origin", "node"], "left_anti")
         frontier = kept(new.select("origin", "node", F.lit(depth).alias("depth"), "path"), "paths")
-        seen = seen.union(frontier)
+        seen = _merged(seen.union(frontier), depth)
     return seen.join(targets.select(F.col(targets.columns[0]).alias("node")).distinct(), "node", "left_semi").select("origin", "node", "depth", "path")
