@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..plans.storage import kept, shared_dir
 
-__all__ = ["kept", "shared_dir", "scratch", "dropped", "small_batches", "ascii_lower", "n_words", "unit_random", "running_total", "WORD"]
+__all__ = ["kept", "shared_dir", "scratch", "dropped", "pieces", "ascii_lower", "n_words", "unit_random", "running_total", "WORD"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,10 +31,11 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 512, size: int = 16 << 20) -> None:
-    """Arrow batches of so many rows and bytes at most: whole texts may be long, and a Python worker holds a few batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows: whole texts may be long, and Python strings or arrays are made of one piece at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytewords import ALNUM_CUT, buffer_of, words_of
-from .common import small_batches
+from .common import pieces
 
 WINDOW, SHARD_BYTES, BLOCK_BYTES, SAMPLE = 10, 4 << 20, 1 << 20, 16
 
@@ -202,7 +202,6 @@ def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with n_words, spans (words first to last, exclusive; bytes start to end of the UTF-8 text) and items (ids as strings)."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = items.where(F.col(item_text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + F.octet_length("id") + 16)).first()[0] or 0
     blocks = max(1, -(-2 * size // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
@@ -219,7 +218,7 @@ def _searcher(phrases, at: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, lengths, owners, ids = phrases.value
         held, size = [], 0
-        for batch in batches:
+        for batch in pieces(batches):
             held.append(batch)
             size += batch.column(at).nbytes
             if size >= SHARD_BYTES:

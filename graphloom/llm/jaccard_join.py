@@ -6,23 +6,24 @@ tokens; k grows with the set, so a few shared passages don't make a candidate. T
 many documents have last, by powers of two of their counts, and goes by hash otherwise; the counts come from all
 documents, and only order is at stake, never results.
 
-1. `_summaries`: set size and digest of each document; classes of equal sets.
-2. `_frequent`: counts of all tokens, as sorted blobs by hash range; at most `MOST_FREQUENT` tokens are kept, since
-   the least count that makes a token frequent grows with the number of tokens.
-3. `_postings`: the leading tokens of each set, by hash range; tokens of a single set are dropped there. Runs of up
-   to `FULL_RUN` sets give all their pairs with counts; longer runs link their sets with the smallest (a star) and
-   with a set picked by hash.
-4. Candidate pairs are verified on whole sets, next to the smaller set of the pair; linked sets get one label.
-5. `_open_groups`: what runs over `FULL_RUN` may still hide is sought with the token-group matrix. Sets are grouped
-   by the smallest hub of their runs, linked or not, and groups are cut into blocks of about `BLOCK` sets. For each
-   block the union of all its tokens is stored; a set of a later block that shares k leading tokens with the block's
-   union of leading tokens (no similar set shares fewer) is held against the union of all tokens, and only if at
-   least t n of its n tokens are there are the block's sets opened and compared.
-
-No pair of a large group is enumerated: stars are linear, and a set meets other groups, not its own. A token's run
-is handled by one task as hashes (8 bytes a set), never as texts.
-
-Null and empty texts, and texts without words, have empty sets, linked with nothing. Repeated ids are rows of their
+1. `_described`: one pass over the texts gives each document's set size and digest, and token counts as sorted blobs
+   by hash range. `_frequent` sums these; at most `MOST_FREQUENT` tokens are kept, as the least count that makes a
+   token frequent grows with the number of tokens.
+2. `_postings`, `_runs`: the leading tokens of each set, by hash range; a token that only one set leads with is dropped.
+   A token of very many sets is cut by set into parts of about `SPLIT`, so that no task holds it whole.
+3. Groups: a set goes to the centre (the smallest set of a token's run) that it shares most leading tokens with. A
+   group is first held against its centre alone; sets that are similar to it get one label. Groups are then cut into
+   blocks of at most `BLOCK` sets and about `BLOCK_TOKENS` tokens, sets of one label apart from those still alone.
+4. Matrix: two blocks that share k leading tokens in the union, and aren't of one label throughout, are a pair. For
+   each block that is asked, the union of all its sets' tokens is stored as its row of the matrix; a set of the other block
+   asks it only if at least t n of its n tokens are in that row (`_bound`). Only blocks that qualify are opened (`_open`) and their sets
+   compared; a block is opened for itself too. All links but those to a group's centre come from opened blocks.
+
+No pair of a large group is enumerated: centres are compared once with each set, a block's links are a spanning
+forest, and blocks of one label never meet. Tokens travel as hashes (8 bytes each), never as texts. Sets that may be needed are picked
+by a bitmap of at most 2^`BITMAP` bits, at every size; a false hit is dropped by the join that follows.
+
+Null and empty texts, and texts without words, have empty sets, linked with nothing. Repeated and null ids are rows of their
 own. An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -37,14 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import BLANK_CUT, buffer_of, shingles, words_of
-from .common import dropped, kept, small_batches
+from .common import dropped, kept, pieces
 from .components import components
 
 WORDS, SIMILAR = 5, (4, 5)  # shingle length; similarity as a fraction
-MOST_FREQUENT, LEAST_FREQUENT, FULL_RUN, BLOCK = 1 << 21, 64, 8, 128
-RANGE_TOKENS = 1 << 20
+MOST_FREQUENT, LEAST_FREQUENT = 1 << 21, 64
+BLOCK, BLOCK_TOKENS = 128, 1 << 20
+RANGE_TOKENS, SPLIT = 1 << 20, 1 << 17
 FLUSH = 1 << 20
-KEYS_SENT = 1 << 20
+BITMAP = 27
+SPLIT_PART = 1 << 44  # parts from here on are cuts of one frequent token
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -54,7 +57,7 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 
 def depth(n: np.ndarray) -> np.ndarray:
-    """k: how many leading tokens must be shared."""
+    """k: how many leading tokens must be shared, where n is the smaller set's size."""
     return 1 + n // 16
 
 
@@ -78,59 +81,55 @@ def _key(tokens: np.ndarray) -> tuple[str, int]:
     return d.hex(), int.from_bytes(d[:8], "little", signed=True)
 
 
-def _text_batches(batches: Iterator[pa.RecordBatch], name: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    for batch in batches:
-        if batch.num_rows:
-            yield batch, batch.column(batch.schema.get_field_index(name))
-
-
-def _summaries(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch, texts in _text_batches(batches):
-            n, names, keys = [], [], []
-            for tokens in _sets(texts):
-                name, key = _key(tokens) if len(tokens) else (None, None)
-                n.append(len(tokens)), names.append(name), keys.append(key)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(keys, pa.int64())], ["doc_id", "n", "name", "key"])
+def _range_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
 
-    return docs.mapInArrow(run, "doc_id long, n long, name string, key long")
 
+DESCRIBED = "doc_id long, n long, name string, key long, part long, tokens binary, again binary, counts binary"
 
-def _range_of(tokens: np.ndarray, bits: int) -> np.ndarray:
-    return (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
 
+def _described(docs: DataFrame, bits: int) -> DataFrame:
+    """A row for each document (doc_id, n, name, key; part null), and rows of token counts by range (part, tokens, again, counts).
 
-def _frequent(docs: DataFrame, total: int, bits: int) -> DataFrame:
-    """(token, count) of frequent tokens; a token is its range and the next 24 bits here."""
-    least = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
+    A counted token is its range and the next 24 bits; blobs hold these 24 bits, and counts over one with their places.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    names = [c.split()[0] for c in DESCRIBED.split(", ")]
+    batch_of = lambda cols, n: pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+    def counted(held):
+        tokens, counts = np.unique((np.concatenate(held) >> np.uint64(40 - bits)), return_counts=True)
+        part = (tokens >> np.uint64(24)).astype(np.int64)
+        cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
+        low = np.ascontiguousarray((tokens & np.uint64(0xFFFFFF)).astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
+        out: list[list] = [[], [], [], []]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            again = np.flatnonzero(counts[a:b] > 1)
+            for column, value in zip(out, (int(part[a]), low[a:b].tobytes(), again.astype("<u4").tobytes(), (counts[a:b][again] - 1).astype("<u4").tobytes())):
+                column.append(value)
+        return batch_of([None] * 4 + out, len(out[0]))
 
-    def count(batches):
+    def run(batches):
         held, size = [], 0
-
-        def flush():
-            tokens, counts = np.unique((np.concatenate(held) >> np.uint64(40 - bits)), return_counts=True)
-            part = (tokens >> np.uint64(24)).astype(np.int64)
-            cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
-            low = np.ascontiguousarray((tokens & np.uint64(0xFFFFFF)).astype("<u4")).view(np.uint8).reshape(-1, 4)[:, :3]
-            more = counts > 1
-            out = {"part": [], "tokens": [], "again": [], "counts": []}
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                out["part"].append(int(part[a]))
-                out["tokens"].append(low[a:b].tobytes())
-                again = np.flatnonzero(more[a:b])
-                out["again"].append(again.astype("<u4").tobytes())
-                out["counts"].append((counts[a:b][again] - 1).astype("<u4").tobytes())
-            return pa.RecordBatch.from_pydict(out, pa.schema([("part", pa.int64()), ("tokens", pa.binary()), ("again", pa.binary()), ("counts", pa.binary())]))
-
-        for _, texts in _text_batches(batches):
-            for tokens in _sets(texts):
-                held.append(tokens)
+        for batch in pieces(batches):
+            n, names_, keys = [], [], []
+            for tokens in _sets(batch.column(1)):
+                name, key = _key(tokens) if len(tokens) else (None, None)
+                n.append(len(tokens)), names_.append(name), keys.append(key), held.append(tokens)
                 size += len(tokens)
+            yield batch_of([batch.column(0), n, names_, keys] + [None] * 4, batch.num_rows)
             if size >= FLUSH:
-                yield flush()
+                yield counted(held)
                 held, size = [], 0
         if size:
-            yield flush()
+            yield counted(held)
+
+    return docs.mapInArrow(run, DESCRIBED)
+
+
+def _frequent(blobs: DataFrame, total: int) -> DataFrame:
+    """(token, count) of frequent tokens, each as its range and 24 bits."""
+    least = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         low, extra = [], []
@@ -143,29 +142,39 @@ def _frequent(docs: DataFrame, total: int, bits: int) -> DataFrame:
         many = counts >= least
         return pa.table({"token": pa.array((tokens[many].astype(np.int64) + (key[0].as_py() << 24))), "count": pa.array(counts[many])})
 
-    blobs = docs.mapInArrow(count, "part long, tokens binary, again binary, counts binary")
     return blobs.groupBy("part").applyInArrow(add, "token long, count long")
 
 
 def _postings(docs: DataFrame, bits: int, frequent) -> DataFrame:
-    """(part, tokens, keys, sizes): the leading tokens of all sets, with their sets' keys and sizes, as blobs by range."""
+    """(part, tokens, keys, sizes): the leading tokens of all sets, with their sets' keys and sizes, as blobs by part; copies of a task count once."""
 
     def run(batches):
-        hot, rank = frequent.value
+        hot, count = frequent.value
+        rank = np.log2(np.maximum(count, 1)).astype(np.int64)
         held: list[tuple] = []
         size = 0
 
         def flush():
             tokens, keys, sizes = (np.concatenate(x) for x in zip(*held))
-            by = np.argsort(tokens)
+            by = np.lexsort((keys, tokens))
+            by = by[np.r_[True, (np.diff(tokens[by].view(np.int64)) != 0) | (np.diff(keys[by]) != 0)]]
             tokens, keys, sizes = tokens[by], keys[by], sizes[by]
             part = _range_of(tokens, bits)
+            if len(hot):
+                short = tokens >> np.uint64(40 - bits)
+                i = np.minimum(np.searchsorted(hot, short), len(hot) - 1)
+                cut = (hot[i] == short) & (count[i] > SPLIT)
+                if cut.any():
+                    parts = -(-count[i[cut]] // SPLIT)
+                    part[cut] = SPLIT_PART + (i[cut].astype(np.int64) << 20) + (keys[cut].view(np.uint64) % parts.astype(np.uint64)).astype(np.int64)
+                    by = np.argsort(part, kind="stable")
+                    tokens, keys, sizes, part = tokens[by], keys[by], sizes[by], part[by]
             cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(part)]
             out = [[int(part[a]) for a in cuts[:-1]]] + [[x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])] for x in (tokens, keys, sizes)]
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64())] + [pa.array(x, pa.binary()) for x in out[1:]], ["part", "tokens", "keys", "sizes"])
 
-        for _, texts in _text_batches(batches):
-            for tokens in _sets(texts):
+        for batch in pieces(batches):
+            for tokens in _sets(batch.column(1)):
                 n = len(tokens)
                 if not n:
                     continue
@@ -195,7 +204,8 @@ def _close(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _runs(key: tuple, table: pa.Table) -> pa.Table:
-    """Of one range: pairs with counts from short runs (kind 0), star pairs of long runs (1), postings of long runs (2)."""
+    """Of one part: (centre a, set b, shared tokens) for the sets of each token's run (kind 1); postings (token a, set b, size na) of
+    tokens of several sets (2); and the centre of a cut token, which the other cuts don't know (3)."""
     join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
     tokens, keys, sizes = join("tokens", np.uint64), join("keys", np.int64), join("sizes", np.int32)
     by = np.lexsort((keys, tokens))
@@ -204,194 +214,237 @@ def _runs(key: tuple, table: pa.Table) -> pa.Table:
     tokens, keys, sizes = tokens[own], keys[own], sizes[own]
     first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
     length = np.diff(np.r_[first, len(tokens)])
-    a, b, kind = [], [], []
-    for n in range(2, FULL_RUN + 1):
-        at = first[length == n]
-        for i in range(n):
-            for j in range(i + 1, n):
-                x, y = at + i, at + j
-                good = _close(sizes[x], sizes[y])
-                a.append(x[good]), b.append(y[good])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    out = []
-    if len(a):
-        pair = np.rec.fromarrays([keys[a], keys[b]], names="a,b")
-        got, at, count = np.unique(pair, return_index=True, return_counts=True)
-        out.append((got.a, got.b, sizes[a][at], sizes[b][at], count, np.zeros(len(got), np.int8)))
-    long = length > FULL_RUN
-    if long.any():
-        start, n = first[long], length[long]
-        where = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start_of, n_of = np.repeat(start, n), np.repeat(n, n)
-        with np.errstate(over="ignore"):
-            any_ = start_of + ((keys[where].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tokens[where]) % n_of.astype(np.uint64)).astype(np.int64)
-        x, y = np.r_[start_of, np.minimum(any_, where)], np.r_[where, np.maximum(any_, where)]
-        # a set picked by hash is tried in one of eight runs, on average
-        use = (x != y) & _close(sizes[x], sizes[y]) & np.r_[np.ones(len(where), bool), (tokens[where] & np.uint64(7)) == 0]
-        pair = np.rec.fromarrays([keys[x[use]], keys[y[use]]], names="a,b")
-        got, at = np.unique(pair, return_index=True)
-        out.append((got.a, got.b, sizes[x[use]][at], sizes[y[use]][at], np.ones(len(got), np.int64), np.ones(len(got), np.int8)))
-        out.append((tokens[where].view(np.int64), keys[where], sizes[where], np.zeros(len(where), np.int64), n_of, np.full(len(where), 2, np.int8)))
-    cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5 + [np.zeros(0, np.int8)]
+    cut = key[0].as_py() >= SPLIT_PART
+    many = length > (0 if cut else 1)
+    start, n = first[many], length[many]
+    where = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    centre = np.repeat(start, n)
+    use = (centre != where) & _close(sizes[centre], sizes[where])
+    pair = np.rec.fromarrays([keys[centre[use]], keys[where[use]]], names="a,b")
+    got, at, shared = np.unique(pair, return_index=True, return_counts=True)
+    kinds = [(got.a, got.b, sizes[centre[use]][at], sizes[where[use]][at], shared, np.full(len(got), 1, np.int8))]
+    zeros = np.zeros(len(where), np.int64)
+    kinds.append((tokens[where].view(np.int64), keys[where], sizes[where], zeros, zeros, np.full(len(where), 2, np.int8)))
+    if cut:
+        kinds.append((tokens[start].view(np.int64), keys[start], sizes[start], zeros[: len(start)], zeros[: len(start)], np.full(len(start), 3, np.int8)))
+    cols = [np.concatenate(x) for x in zip(*kinds)]
     return pa.table({c: pa.array(x.astype(t)) for c, x, t in zip(("a", "b", "na", "nb", "shared", "kind"), cols, [np.int64] * 5 + [np.int8])})
 
 
-def _chosen_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, n, tokens) of the sets whose keys are wanted; copies may come more than once.
+RUNS = "a long, b long, na long, nb long, shared long, kind byte"
 
-    Up to KEYS_SENT keys are sent to all executors, so texts stay where they are; beyond it, texts meet them by id.
-    """
-    n = wanted.count()
-    if n <= KEYS_SENT:
-        keys = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.toLocalIterator()], np.int64)))
-    else:
-        docs, keys = docs.join(classes.join(wanted, "key").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), None
+
+def _centres(runs: DataFrame) -> DataFrame:
+    """(a, b, na, nb, shared): centre and set, with the leading tokens that they are known to share. Cuts of one token meet by their centres."""
+    cuts = runs.where("kind = 3").select(F.col("a").alias("token"), "b", "na")
+    least = cuts.groupBy("token").agg(F.min(F.struct("b", "na")).alias("_m"))
+    joined = cuts.join(least, "token").where("b <> _m.b").select(F.col("_m.b").alias("a"), "b", F.col("_m.na").alias("na"), F.col("na").alias("nb"), F.lit(1).cast("long").alias("shared"))
+    all_ = runs.where("kind = 1").select("a", "b", "na", "nb", "shared").unionByName(joined)
+    return all_.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+
+
+def _bits_of(spark: SparkSession, keys: DataFrame, distinct: int) -> tuple[object, int]:
+    """A broadcast bitmap of keys (key), and its size in bits less one."""
+    bits = min(BITMAP, max(15, (32 * distinct).bit_length()))
+    place = F.pmod(F.col("key"), F.lit(1 << bits)) + 1  # buckets and bits are numbered from 1
+    blobs = keys.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).toArrow()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for at, blob in zip(blobs.column(0).to_pylist(), blobs.column(1).to_pylist()):
+        start = (at - 1) * 4096
+        out[start : start + 4096] |= np.frombuffer(blob, np.uint8)[: len(out) - start]
+    return spark.sparkContext.broadcast(out), (1 << bits) - 1
+
+
+def _chosen_sets(docs: DataFrame, chosen, mask: int) -> DataFrame:
+    """(key, n, tokens) of the sets that a bitmap has; copies in other tasks may repeat a set."""
 
     def run(batches):
         done: set[int] = set()
-        for _, texts in _text_batches(batches):
+        for batch in pieces(batches):
             out = []
-            for tokens in _sets(texts):
+            for tokens in _sets(batch.column(1)):
                 if len(tokens):
                     key = _key(tokens)[1]
-                    if key in done:
-                        continue
-                    if keys is not None:
-                        i = np.searchsorted(keys.value, key)
-                        if i == len(keys.value) or keys.value[i] != key:
-                            continue
-                    done.add(key)
-                    out.append((key, len(tokens), tokens.tobytes()))
+                    at = key & mask
+                    if chosen.value[at >> 3] >> (at & 7) & 1 and key not in done:
+                        done.add(key)
+                        out.append((key, len(tokens), tokens.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["key", "n", "tokens"])
 
-    got = docs.mapInArrow(run, "key long, n long, tokens binary")
-    # one row a key: copies are hashed apart, and the least is as good as any
-    return got.groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    # one row a key: copies are hashed apart, and the first is as good as any
+    return docs.mapInArrow(run, "key long, n long, tokens binary").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
-def _overlaps(tokens: np.ndarray, pool: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Of each of n sets, pooled in one sorted array, how many of the tokens it has."""
-    low, high = np.searchsorted(pool, tokens, "left"), np.searchsorted(pool, tokens, "right")
-    size = high - low
-    at = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return np.bincount(owner[at], minlength=n)
+def _rows_of(table: pa.Table, *columns: str) -> list[tuple]:
+    return list(zip(*(table.column(c).to_pylist() for c in columns)))
 
 
-def _verify(key: tuple, table: pa.Table) -> pa.Table:
-    """Rows of one hub: the hub's own set (role 0) and the sets to compare with it (role 1); links that hold."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("role", "key", "n", "tokens"))))
+def _against_centre(key: tuple, table: pa.Table) -> pa.Table:
+    """A group, or a cut of it: the centre (role 0) and the sets to compare with it (role 1); links that hold."""
+    rows = _rows_of(table, "role", "key", "n", "tokens")
     hub = next((np.frombuffer(t, np.uint64) for role, _, _, t in rows if role == 0), None)
     out = []
     if hub is not None:
         for role, other, n, tokens in rows:
             if role == 1:
-                both = np.isin(np.frombuffer(tokens, np.uint64), hub, assume_unique=True, kind="sort").sum() if n * 4 > len(hub) else 0
+                both = np.isin(np.frombuffer(tokens, np.uint64), hub, assume_unique=True, kind="sort").sum()
                 if similar(int(both), n, len(hub)):
                     out.append(other)
     return pa.table({"a": pa.array([key[0].as_py()] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that are similar. A hub's sets are split by hash, so that one task holds about BLOCK of them; the hub's own is copied to each."""
-    pairs = pairs.select("a", "b").distinct()
-    size = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).cast("int").alias("_parts"))
-    spokes = pairs.join(size, "a").select("a", F.col("b").alias("key"), F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("salt"), F.lit(1).alias("role"))
-    hubs = size.select("a", F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("salt"), F.lit(0).alias("role"))
-    return spokes.union(hubs).join(sets, "key").select("a", "salt", "role", "key", "n", "tokens").groupBy("a", "salt").applyInArrow(_verify, "a long, b long")
+def _salted(rows: DataFrame, by: str, once: DataFrame, sets: DataFrame, at_once: int) -> DataFrame:
+    """rows (by, key) as role 1, dealt by hash into tasks of about at_once each, and to each task a copy of once (by, key) as role 0; with their sets."""
+    size = rows.groupBy(by).agg(F.greatest(F.ceil(F.count(F.lit(1)) / at_once), F.lit(1)).cast("int").alias("_parts"))
+    ask = rows.join(size, by).select(by, "key", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    own = once.join(size, by).select(by, "key", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("salt"), F.lit(0).alias("role"))
+    return ask.union(own).join(sets, "key")
+
+
+def _centre_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) of pairs that are similar."""
+    once = pairs.select("a", F.col("a").alias("key")).distinct()
+    rows = _salted(pairs.select("a", F.col("b").alias("key")), "a", once, sets, BLOCK)
+    return rows.select("a", "salt", "role", "key", "n", "tokens").groupBy("a", "salt").applyInArrow(_against_centre, "a long, b long")
+
+
+def _union(key: tuple, table: pa.Table) -> pa.Table:
+    """A row of the matrix: the tokens of a block's sets."""
+    got = np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]))
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "tokens": pa.array([got.tobytes()], pa.binary())})
+
+
+def _bound(key: tuple, table: pa.Table) -> pa.Table:
+    """The sets (role 1) that have enough tokens in a block's row of the matrix (role 0) to be similar to one of its sets."""
+    rows = _rows_of(table, "role", "key", "n", "tokens")
+    union = next((np.frombuffer(t, np.uint64) for role, _, _, t in rows if role == 0), None)
+    out = []
+    if union is not None:
+        for role, k, n, t in rows:
+            if role == 1:
+                tokens = np.frombuffer(t, np.uint64)
+                at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+                if (union[at] == tokens).sum() >= needed(n):
+                    out.append(k)
+    return pa.table({"block": pa.array([key[0].as_py()] * len(out), pa.int64()), "key": pa.array(out, pa.int64())})
+
+
+def _overlaps(tokens: np.ndarray, pool: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n sets, pooled in one sorted array, how many of the tokens it has."""
+    low, high = np.searchsorted(pool, tokens, "left"), np.searchsorted(pool, tokens, "right")
+    size = high - low
+    at = np.repeat(low, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.bincount(owner[at], minlength=n)
 
 
 def _open(key: tuple, table: pa.Table) -> pa.Table:
-    """A block of the token-group matrix: its sets (role 0), their union, and the sets held against it (role 1)."""
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("role", "key", "n", "tokens", "linked"))))
+    """An opened block: its sets (role 0) and those that ask it (role 1); links that join what has been apart."""
+    rows = _rows_of(table, "role", "key", "n", "tokens", "linked")
     own = {k: (n, np.frombuffer(t, np.uint64), c) for role, k, n, t, c in rows if role == 0}
-    names, out = list(own), []
+    names, out, up = list(own), [], {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
     if own:
         pool = np.concatenate([t for _, t, _ in own.values()])
         owner = np.repeat(np.arange(len(own)), [len(t) for _, t, _ in own.values()])
         by = np.argsort(pool, kind="stable")
         pool, owner = pool[by], owner[by]
-        union = pool[np.r_[True, pool[1:] != pool[:-1]]]
         sizes, linked = np.array([n for n, _, _ in own.values()]), np.array([c for _, _, c in own.values()])
         for role, k, n, t, c in rows:
             if role == 1:
-                tokens = np.frombuffer(t, np.uint64)
-                at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-                if (union[at] == tokens).sum() < needed(n):
-                    continue  # no set of the block can be similar
-                both = _overlaps(tokens, pool, owner, len(own))
+                both = _overlaps(np.frombuffer(t, np.uint64), pool, owner, len(own))
                 good = np.flatnonzero(similar(both, n, sizes) & (linked != c))
-                _, first = np.unique(linked[good], return_index=True)  # one link joins all sets that are linked already
-                out += [(names[i], k) for i in good[first]]
+                for i in good[np.unique(linked[good], return_index=True)[1]]:  # one link joins all sets of a label
+                    x, y = top(int(linked[i])), top(c)
+                    if x != y:
+                        up[x] = y
+                        out.append((names[i], k))
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def _open_groups(runs: DataFrame, short: DataFrame, labels: DataFrame, sets_of) -> DataFrame | None:
-    """Links that stars have not found, by the token-group matrix; None if no set meets a block with others than its own linked ones.
+def _blocks(post: DataFrame, centres: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, n, linked, block) of the sets in post: groups by label, and sets still alone by the centre they share most with, cut by hash."""
+    best = centres.groupBy(F.col("b").alias("key")).agg(F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("_m")).select("key", (-F.col("_m.a")).alias("_hub"))
+    of = labels.select(F.col("node").alias("_hub"), F.col("comp").alias("_label"))
+    member = post.select("key", "n", "linked", "alone").distinct().join(best, "key", "left").withColumn("_hub", F.coalesce("_hub", "key")).join(of, "_hub", "left")
+    member = member.select("key", "n", "linked", "alone", F.when(F.col("alone"), F.coalesce("_label", "_hub")).otherwise(F.col("linked")).alias("group"))
+    parts = member.groupBy("group", "alone").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("_parts"))
+    return member.join(parts, ["group", "alone"]).select("key", "n", "linked", F.xxhash64("group", "alone", F.pmod(F.xxhash64("key"), F.col("_parts"))).alias("block"))
 
-    A set's group is the smallest hub that it shares a long run with, so the sets of a cluster are grouped whether
-    they are linked or not; groups are cut into blocks by hash. Of two blocks the later one's sets ask the earlier.
-    """
+
+def _block_pairs(post: DataFrame, member: DataFrame) -> DataFrame:
+    """(block, other), block <= other: blocks whose sets may be similar by the leading tokens that they share."""
+    p, q = SIMILAR
+    of = post.select("token", "key").join(member, "key").groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("linked").alias("x"), F.max("linked").alias("y"), F.count(F.lit(1)).alias("sets"))
+    of = kept(of, "jac-leads")
+    other = of.select("token", *[F.col(c).alias("_" + c) for c in ("block", "low", "high", "x", "y")])
+    fits = (F.col("_high") * q >= F.col("low") * p) & (F.col("high") * q >= F.col("_low") * p)
+    apart = (F.col("x") != F.col("y")) | (F.col("_x") != F.col("_y")) | (F.col("x") != F.col("_x"))
+    some = (F.col("block") < F.col("_block")) | ((F.col("block") == F.col("_block")) & (F.col("sets") > 1))
+    pairs = of.join(other, "token").where(some & fits & apart)
+    pairs = pairs.groupBy("block", F.col("_block").alias("other")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("low", "_low")).alias("low"))
+    return pairs.where(F.col("shared") >= 1 + F.floor(F.col("low") / 16)).select("block", "other")
+
+
+def _matrix_links(runs: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links by the token-group matrix; None if no blocks can have any."""
     post = runs.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("key"), F.col("na").alias("n"))
-    post = post.join(labels.select(F.col("node").alias("key"), F.col("comp").alias("linked")), "key", "left").withColumn("linked", F.coalesce("linked", "key"))
+    post = post.join(labels.select(F.col("node").alias("key"), F.col("comp").alias("linked")), "key", "left").withColumn("alone", F.col("linked").isNull()).withColumn("linked", F.coalesce("linked", "key"))
     mixed = post.groupBy("token").agg(F.min("linked").alias("_x"), F.max("linked").alias("_y")).where("_x <> _y").select("token")
     post = kept(post.join(mixed, "token", "left_semi"), "jac-mixed")
-    if post.isEmpty():
-        return None
-    hubs = runs.where("kind = 1").groupBy(F.col("b").alias("key")).agg(F.min("a").alias("comp"))
-    member = post.select("key", "n", "linked").distinct().join(hubs, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    parts = member.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_parts"))
-    member = kept(member.join(parts, "comp").select("key", "n", "linked", "comp", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int").alias("block")), "jac-blocks")
-    grouped = kept(post.select("token", "key").join(member, "key"), "jac-grouped")
-    group = grouped.groupBy("token", "comp", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("linked").alias("_x"), F.max("linked").alias("_y"))
-    p, q = SIMILAR
-    later = (F.col("_comp") > F.col("comp")) | ((F.col("_comp") == F.col("comp")) & (F.col("_block") >= F.col("block")))
-    fits = (F.col("n") * q >= F.col("low") * p) & (F.col("n") * p <= F.col("high") * q)
-    other = (F.col("_x") != F.col("linked")) | (F.col("_y") != F.col("linked"))
-    ask = grouped.select("token", "key", "n", "linked", F.col("comp").alias("_comp"), F.col("block").alias("_block")).join(group, "token").where(later & fits & other)
-    # shared leading tokens: those of long runs with the block's union, and those of short runs with its sets
-    both = short.select(F.col("a").alias("x"), F.col("b").alias("key"), "shared").union(short.select("b", "a", "shared"))
-    also = both.join(member.select("key", "comp", "block"), "key").select(F.col("x").alias("key"), "comp", "block", "shared", F.lit(None).cast("long").alias("n"))
-    shares = ask.select("key", "comp", "block", F.lit(1).cast("long").alias("shared"), "n").union(also).groupBy("key", "comp", "block").agg(F.sum("shared").alias("shared"), F.max("n").alias("n"))
-    least = F.floor((F.col("n") * p + q - 1) / q)
-    ask = kept(shares.where(F.col("n").isNotNull() & (F.col("shared") >= 1 + F.floor(least / 16))).select("key", "comp", "block"), "jac-asks")
-    if ask.isEmpty():
+    member = kept(_blocks(post, centres, labels), "jac-blocks")
+    pairs = kept(_block_pairs(post, member), "jac-pairs")
+    if pairs.isEmpty():
         return None
-    cuts = ask.groupBy("comp", "block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)), F.lit(1)).cast("int").alias("_parts"))
-    asks = ask.join(cuts, ["comp", "block"]).join(member.select("key", "linked"), "key").select("comp", "block", F.lit(1).alias("role"), "key", "linked", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int").alias("salt"))
-    inside = member.join(cuts, ["comp", "block"]).select("comp", "block", F.lit(0).alias("role"), "key", "linked", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("salt"))
-    rows = kept(inside.union(asks), "jac-open")
-    sets = sets_of(rows.select("key").distinct())
-    return rows.join(sets, "key").select("comp", "block", "salt", "role", "key", "linked", "n", "tokens").groupBy("comp", "block", "salt").applyInArrow(_open, "a long, b long")
+    cross = pairs.where("block <> other")
+    asked = cross.select(F.col("other").alias("block")).distinct()
+    matrix = kept(member.join(asked, "block", "left_semi").select("block", "key").join(sets, "key").select("block", "tokens").groupBy("block").applyInArrow(_union, "block long, tokens binary"), "jac-matrix")
+    asks = cross.join(member.select("block", "key"), "block").select(F.col("other").alias("block"), "key")
+    # a matrix row goes in the place of a set, under its block's number
+    size = asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("_parts"))
+    query = asks.join(size, "block").select("block", "key", F.pmod(F.xxhash64("key"), F.col("_parts")).cast("int").alias("salt")).join(sets, "key").select("block", "salt", F.lit(1).alias("role"), "key", "n", "tokens")
+    row = matrix.join(size, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("salt"), F.lit(0).alias("role"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n"), "tokens")
+    qualified = query.union(row).groupBy("block", "salt").applyInArrow(_bound, "block long, key long")
+    itself = pairs.where("block = other").select("block").join(member.select("block", "key"), "block")
+    asks = kept(qualified.union(itself.select("block", "key")), "jac-asks")
+    opened = asks.select("block").distinct()
+    rows = _salted(asks, "block", member.join(opened, "block", "left_semi").select("block", "key"), sets, 2 * BLOCK).join(member.select("key", "linked"), "key")
+    return rows.select("block", "salt", "role", "key", "n", "tokens", "linked").groupBy("block", "salt").applyInArrow(_open, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), class_id (smallest id of the equal set) of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    summary = kept(_summaries(docs), "jac-summary")
+    estimate = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    bits = min(36, max(0, (estimate // RANGE_TOKENS).bit_length()))
+    described = kept(_described(docs, bits), "jac-described")
+    summary = described.where("part IS NULL").select("doc_id", "n", "name", "key")
     classes = kept(summary.where("n > 0").groupBy("name", "key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jac-classes")
-    total = summary.agg(F.sum("n")).first()[0] or 0
-    bits = max(0, (total // RANGE_TOKENS).bit_length())
-    found = kept(_frequent(docs, total, bits), "jac-frequent")
-    hot = np.array(sorted((r[0], r[1]) for r in found.toLocalIterator()), np.int64).reshape(-1, 2)
-    frequent = spark.sparkContext.broadcast((hot[:, 0].astype(np.uint64), np.log2(np.maximum(hot[:, 1], 1)).astype(np.int64)))
-    runs = kept(_postings(docs, bits, frequent).groupBy("part").applyInArrow(_runs, "a long, b long, na long, nb long, shared long, kind byte"), "jac-runs")
-    least = F.least(F.col("na"), F.col("nb"))
-    short = runs.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    short = kept(short.select("a", "b", "shared", (F.col("shared") >= 1 + F.floor(least / 16)).alias("enough")), "jac-short")
-    pairs = kept(short.where("enough").select("a", "b").union(runs.where("kind = 1").select("a", "b")).distinct(), "jac-pairs")
-    sets_of = lambda wanted: _chosen_sets(docs, wanted, classes)
-    keys = kept(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "jac-keys")
-    links = kept(_verified(pairs, sets_of(keys)), "jac-links")
+    total, distinct = summary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], classes.count()
+    hot = _frequent(described.where("part IS NOT NULL").select("part", "tokens", "again", "counts"), total).toArrow().sort_by("token")
+    frequent = spark.sparkContext.broadcast((hot.column(0).to_numpy().astype(np.uint64), hot.column(1).to_numpy()))
+    runs = kept(_postings(docs, bits, frequent).groupBy("part").applyInArrow(_runs, RUNS), "jac-runs")
+    frequent.destroy()
+    chosen, mask = _bits_of(spark, runs.where("kind = 2").select(F.col("b").alias("key")), distinct)
+    sets = kept(_chosen_sets(docs, chosen, mask), "jac-sets")
+    chosen.destroy()
+    centres = kept(_centres(runs), "jac-centres")
+    enough = F.col("shared") >= 1 + F.floor(F.least("na", "nb") / 16)
+    links = kept(_centre_links(centres.where(enough).select("a", "b"), sets), "jac-links")
     labels = components(links)
-    more = _open_groups(runs, short, labels, sets_of)
+    more = _matrix_links(runs, centres, labels, sets)
     if more is not None:
         more = kept(more, "jac-links")
         if not more.isEmpty():
             labels = components(links.union(more))
-    dropped(spark, runs)
+    for done in (runs, sets, centres):
+        dropped(spark, done)
     named = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least_id = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least_id, "comp").select("name", "rep", "component_id")

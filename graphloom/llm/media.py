@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches
+from .common import kept, pieces
 
 WIDTH = 64
 TILE = (8, 9)
@@ -146,12 +146,11 @@ def text_image(raw: bytes) -> bytes:
 
 def text_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with media: each text's bytes stored without loss as the samples of a grey picture."""
-    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in {"media", "n_bytes"}]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             at = b.num_columns - 1
             yield b.set_column(at, b.schema.field(at), pa.array((text_image(x) for x in b.column(at).to_pylist()), b.schema.field(at).type))
 
@@ -160,7 +159,6 @@ def text_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def decoded(rows: DataFrame, media: str = "media", tile: tuple[int, int] = TILE) -> DataFrame:
     """rows with height, width, channels, pixels (samples row by row), tile (NPY bytes) and dhash, all read from the stored bytes."""
-    small_batches(rows.sparkSession)
     own = {"height": "int", "width": "int", "channels": "int", "pixels": "binary", "tile": "binary", "dhash": "string"}
     rest = [c for c in rows.columns if c not in own]
     rows = rows.select(*[F.col(f"`{c}`") for c in rest])
@@ -168,7 +166,7 @@ def decoded(rows: DataFrame, media: str = "media", tile: tuple[int, int] = TILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string()]
-        for b in batches:
+        for b in pieces(batches):
             got = []
             for raw in b.column(at).to_pylist():
                 p = decode(raw)

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import pieces
 
 VOCABULARY = os.environ.get("GRAPHLOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the pre-token pattern of the vocabulary.
@@ -165,14 +165,13 @@ def _schema(df: DataFrame, own: dict[str, str]) -> str:
 
 def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """docs with n_tokens and the tree's leaves; the sums above them are rebuilt from these in one pass."""
-    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in TREE]
     docs = docs.select(*[F.col(f"`{c}`") for c in rest])
     at = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(vocabulary)
-        for b in batches:
+        for b in pieces(batches):
             n, chars, tokens = [], [], []
             for x in b.column(at):
                 tree = grown(x.as_py() or "", count)
@@ -192,7 +191,6 @@ def with_edits(counted: DataFrame, edits: DataFrame, doc_id: str = "doc_id") ->
 
 def apply_edits(counted: DataFrame, text: str = "text", edits: str = "edits", vocabulary: str = VOCABULARY) -> DataFrame:
     """counted (with n_tokens, leaves and edits) after the edits, with reencoded: characters that were encoded again."""
-    small_batches(counted.sparkSession)
     own = {text, edits, *TREE, "reencoded"}
     rest = [c for c in counted.columns if c not in own]
     rows = counted.select(*[F.col(f"`{c}`") for c in rest], text, *TREE, edits)
@@ -201,7 +199,7 @@ def apply_edits(counted: DataFrame, text: str = "text", edits: str = "edits", vo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(vocabulary)
         k = len(rest)
-        for b in batches:
+        for b in pieces(batches):
             texts, n, chars, tokens, again = [], [], [], [], []
             for x, c, t, todo in zip(b.column(k).to_pylist(), b.column(k + 2).to_pylist(), b.column(k + 3).to_pylist(), b.column(k + 4).to_pylist()):
                 tree, new, work = Tree(c or [], t or []), x or "", 0

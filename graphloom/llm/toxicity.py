@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches
+from .common import kept, pieces
 
 FIT_ROWS, MIN_DOCUMENTS, MIN_WEIGHT, MAX_FEATURES, THRESHOLD = 16_000, 4, 3.0, 50_000, 0.7
 SHORTEST, LONGEST = 3, 8
@@ -61,7 +61,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 18, np.int64)
-        for b in batches:
+        for b in pieces(batches):
             c = codes_of("  ".join(x for x in b.column(0).to_pylist() if x) + "  ").astype(np.int32)
             c = c[np.r_[True, (c[1:] != 0) | (c[:-1] != 0)]]  # one gap between words
             if len(c) > 2:
@@ -184,7 +184,7 @@ def _counts(rows: DataFrame, lm, only) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
         reader = Reader(lm.value, _features_of)
-        for b in batches:
+        for b in pieces(batches):
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = frozenset().union(*reader.text(text))
                 found[toxic].update(own if only is None else own & only.value)
@@ -224,7 +224,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-1) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rows_at_most: int = FIT_ROWS) -> tuple[np.ndarray, dict[str, float], np.ndarray]:
     """The language model, the features' weights and the logistic model. Labels of the held-out third are not read."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id"), F.col("text"))
     lm = spark.sparkContext.broadcast(language_model([(r[0], r[1]) for r in trigram_counts(docs).collect()]))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -247,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_at_most: int = FIT_ROWS) -> tup
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         reader = Reader(lm.value, lambda words: _rated(words, own))
-        for b in batches:
+        for b in pieces(batches):
             got = [_numbers(w) for w in map(reader.text, b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(pa.array([g[i] for g in got], pa.float64()) for i in range(4)), b.column(1)], ["a", "b", "c", "d", "toxic"])
 
@@ -263,7 +262,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows_at_most: int = FIT_ROWS) -> tup
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, dict[str, float], np.ndarray], text: str = "text") -> DataFrame:
     """docs with score and predicted."""
-    small_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in {"score", "predicted"}]
     docs = docs.select(*[F.col(f"`{c}`") for c in rest])
     at = rest.index(text)
@@ -272,7 +270,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, dict[str, float], np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, weight, b = sent.value
         reader = Reader(lm, lambda words: _rated(words, weight))
-        for batch in batches:
+        for batch in pieces(batches):
             x = np.array([_numbers(w) for w in map(reader.text, batch.column(at).to_pylist())]).reshape(-1, 4)
             p = 1 / (1 + np.exp(-np.clip(x @ b[:4] + b[4], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*rest, "score", "predicted"])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import kept, scratch, small_batches
+from .common import kept, scratch, pieces
 
 SHARD_BYTES, ROLL, DATE = 8 << 20, 16 << 20, "2024-01-01T00:00:00Z"
 BLOCK = 1024
@@ -101,7 +101,6 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
 def write_warc(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SHARD_BYTES, roll: int = ROLL, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes all pages under out, a folder that driver and executors share; returns the manifest (file, shard, records, bytes, sha256)."""
     spark = pages.sparkSession
-    small_batches(spark)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     block = F.coalesce(F.floor(F.col("page_id") / BLOCK), F.lit(-(1 << 60))).cast("long")
     sizes = rows.groupBy(block.alias("block")).agg(F.sum(F.octet_length("html") + 512).alias("n"))
@@ -129,7 +128,7 @@ def write_warc(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SH
                 open_file = None
 
         shard, seq = None, 0
-        for batch in batches:
+        for batch in pieces(batches):
             for s, i, u, h, ref in zip(*(c.to_pylist() for c in batch.columns)):
                 if open_file and (s != shard or open_file[1][5] >= roll):
                     close()
@@ -180,7 +179,7 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
     number = lambda x: None if x is None or x == "<urn:page:null>" else int(x[len("<urn:page:") : -1])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for raw in batch.column(0).to_pylist():
                 rows, size = [], 0
                 for data in members(raw):

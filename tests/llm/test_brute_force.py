@@ -59,10 +59,10 @@ def corpus(seed, n=160):
     return out + [(n, None), (n + 1, "")]
 
 
-@pytest.mark.parametrize(("seed", "run", "block"), [(1, 8, 128), (2, 2, 4)])
-def test_jaccard_join_is_exact(spark, monkeypatch, seed, run, block):
-    monkeypatch.setattr(jaccard_join, "FULL_RUN", run)
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+@pytest.mark.parametrize(("seed", "settings_"), [(1, {}), (2, {"BLOCK": 4}), (3, {"BLOCK": 4, "SPLIT": 3, "LEAST_FREQUENT": 2, "BITMAP": 15})])
+def test_jaccard_join_is_exact(spark, monkeypatch, seed, settings_):
+    for k, v in settings_.items():
+        monkeypatch.setattr(jaccard_join, k, v)
     docs = corpus(seed)
     got = jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(docs)
