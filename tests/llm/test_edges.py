@@ -31,7 +31,7 @@ def none(spark):
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "http://A.Example.com/en/7?x", "h"), (2, "http://b.example.com/en/1", "h"), (3, None, None), (4, "no host", "h"), (5, "x://q.org", "h"), (5, "x://q.org", "h"), (None, "ftp://h.net#/de/", "h")], "page_id long, url string, host string")
     labels = spark.createDataFrame([(1, 1, None), (2, 0, None), (5, None, None), (None, 1, None), (2, 1, None)], "doc_id long, quality int, verdict string")
-    got = url_reputation.judge_urls(pages, labels)
+    got = url_reputation.judge_urls(pages, labels, z=2.0)
     rows = sorted(got.select("page_id", "host", "path", "rule", "verdict").collect(), key=str)
     assert {tuple(r) for r in rows} == {
         (1, "a.example.com", "/en/7", "example.com/en/7", "allow"), (2, "b.example.com", "/en/1", "com/en/", "block"), (3, "", "", None, "allow"), (4, "", "", None, "allow"), (5, "q.org", "", None, "allow"), (None, "h.net", "", None, "allow"),
@@ -46,6 +46,8 @@ def test_bad_hosts_are_blocked(spark):
     labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)], "doc_id long, quality int")
     got = {r[0]: r[1] for r in url_reputation.judge_urls(pages, labels).groupBy("host").agg(F.first("verdict")).collect()}
     assert got == {"bad.site.io": "block", "good.site.io": "allow", "new.site.io": "allow"}
+    # a share of good outcomes that the host meets lets it pass
+    assert url_reputation.judge_urls(pages, labels, min_good=0.001).where("verdict = 'block'").count() == 0
 
 
 def test_mixing(docs, none):
