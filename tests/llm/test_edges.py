@@ -60,9 +60,19 @@ def test_mixing(docs, none):
 
 def test_targets_stop_at_three_times(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 100), (None, 0)], "source string, source_size long")
-    got = {r["source"]: (r["target"], r["whole"]) for r in mixing.targets(sizes).collect()}
-    assert got["a"] == (30.0, 3) and got[None] == (0.0, 0)
-    assert got["b"][0] == pytest.approx(180 * 2 / 3) and got["c"][0] == pytest.approx(180 / 3)
+    got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
+    assert got["a"] == 30.0 and got[None] == 0.0
+    assert got["b"] == pytest.approx(180 * 2 / 3) and got["c"] == pytest.approx(180 / 3)
+
+
+def test_long_documents_are_likelier(spark):
+    rows = [(i, " ".join(["w"] * (2 if i % 2 else 60)), "abc"[i % 3]) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "abc":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) < 60
+        long, short = (sum(r["copies"] for r in own if r["size"] == n) / 500 for n in (60, 2))
+        assert long > 1.3 * short and max(r["copies"] for r in own) <= 3
 
 
 def test_chat(spark):
