@@ -42,7 +42,7 @@ ROWS_A_BUCKET = 2000
 def _shared(rows: DataFrame, by: list[str], total: Column, weight: Column, cap: Column, tie: list[Column], out: str) -> DataFrame:
     """Adds out: total, the same in all rows of by, shared among them by weight, none above its cap."""
     inside = W.partitionBy(*by)
-    before, every = inside.orderBy(cap / weight, *tie).rowsBetween(W.unboundedPreceding, -1), inside
+    before, every = inside.orderBy(F.try_divide(cap, weight).asc_nulls_last(), *tie).rowsBetween(W.unboundedPreceding, -1), inside
     rows = rows.withColumn("_w", weight).withColumn("_c", cap).withColumn("_t", total).withColumn("_ws", F.sum("_w").over(every))
     past = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     rows = rows.withColumn("_full", F.col("_w") * (F.col("_t") - past("_c")) >= F.col("_c") * (F.col("_ws") - past("_w")))
