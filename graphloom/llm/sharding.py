@@ -76,23 +76,28 @@ def _admitted(asks: DataFrame, key: str, room: list[float], urgency: Column, buc
 
 
 def _moved(linked: DataFrame, moves: DataFrame, key: str) -> tuple[DataFrame, bool]:
-    """linked after the moves, and whether there were any."""
-    after = linked.drop("moved").join(moves, key, "left").withColumn("moved", F.coalesce(F.col("_new") != F.col("shard"), F.lit(False)))
-    after = kept(after.select("uid", "size", "hub", F.coalesce("_new", "shard").alias("shard"), "moved"), "lpa-linked")
-    dropped(linked.sparkSession, linked)
-    return after, bool(after.agg(F.max("moved")).first()[0])
+    """linked after the moves, and whether there were any. Moves are written first, so that the join with a hot key can be split."""
+    spark = linked.sparkSession
+    moves = kept(moves, "lpa-moves")
+    if moves.isEmpty():
+        return linked, False
+    after = kept(linked.join(moves, key, "left").select("uid", "size", "n", "hub", F.coalesce("_new", "shard").alias("shard")), "lpa-linked")
+    dropped(spark, linked)
+    dropped(spark, moves)
+    return after, True
 
 
 def propagate(units: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
-    """units (uid, size, hub), where hub is null for units without links, to (uid, size, hub, shard).
+    """units (uid, size, n, hub), where hub is null for units without links, to (uid, size, n, hub, shard).
 
     Only linked units take part in the rounds; the others are joined in again for the balance.
     """
-    n = units.count()
-    buckets = max(1, -(-n // ROWS_A_BUCKET))
-    units = kept(units.select("uid", "size", "hub", (_salt("uid") % shards).cast("int").alias("shard")), "lpa-units")
+    units = kept(units.select("uid", "size", "n", "hub", (_salt("uid") % shards).cast("int").alias("shard")), "lpa-units")
+    buckets = max(1, -(-units.count() // ROWS_A_BUCKET))
     quota = (1 + slack) * sum(loads(units, shards)) / shards
-    linked = kept(units.where("hub IS NOT NULL").withColumn("moved", F.lit(False)), "lpa-linked")
+    linked = kept(units.where("hub IS NOT NULL"), "lpa-linked")
+    if linked.isEmpty():
+        return balance(units, shards, buckets)
     free = lambda: [max(0.0, quota - x) for x in loads(linked, shards)]
     hubs, idle = True, 0
     while idle < 2:
@@ -106,7 +111,7 @@ def propagate(units: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> D
         room = free()
         asks = _group_asks(linked, room, shards)
         linked, any_moved = _moved(linked, _admitted(asks, "hub", room, F.floor(F.log2(F.col("size"))), buckets), "hub")
-    placed = kept(units.where("hub IS NULL").unionByName(linked.drop("moved")), "lpa-units")
+    placed = kept(units.where("hub IS NULL").unionByName(linked), "lpa-units")
     dropped(units.sparkSession, units)
     dropped(units.sparkSession, linked)
     return balance(placed, shards, buckets)
@@ -116,7 +121,8 @@ def balance(units: DataFrame, shards: int, buckets: int) -> DataFrame:
     """Moves units and whole groups from shards above the even share to those below. A pass takes items of a part of the excess
     at most: many small ones first, at last single ones that fill what is left. A shard gives no more than its excess."""
     groups = units.where("hub IS NOT NULL").groupBy("hub").agg((F.min("shard") == F.max("shard")).alias("_whole"))
-    units = kept(units.join(groups, "hub", "left").select("uid", "size", "hub", "shard", F.when(F.col("_whole"), F.col("hub")).otherwise(F.col("uid")).alias("item"), F.when(F.col("_whole"), 1).when(F.col("hub").isNull(), 0).otherwise(2).alias("class")), "lpa-balance")
+    groups = kept(groups, "lpa-groups")  # written first, so that the join with a hot hub can be split
+    units = kept(units.join(groups, "hub", "left").select("uid", "size", "n", "hub", "shard", F.when(F.col("_whole"), F.col("hub")).otherwise(F.col("uid")).alias("item"), F.when(F.col("_whole"), 1).when(F.col("hub").isNull(), 0).otherwise(2).alias("class")), "lpa-balance")
     items = kept(units.groupBy("item", "class", "shard").agg(F.sum("size").alias("size")), "lpa-items")
     for r, part in enumerate(BALANCE):
         now = loads(items, shards)
@@ -139,29 +145,37 @@ def balance(units: DataFrame, shards: int, buckets: int) -> DataFrame:
         after = kept(items.join(moves, "item", "left").withColumn("shard", F.coalesce("_new", "shard")).drop("_new"), "lpa-items")
         dropped(units.sparkSession, items)
         items = after
-    return units.drop("shard").join(items.select("item", "shard"), "item").select("uid", "size", "hub", "shard")
+    return units.drop("shard").join(items.select("item", "shard"), "item").select("uid", "size", "n", "hub", "shard")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard. Groups are equal texts."""
+def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """A row for each row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard; with whole, beside all other columns of docs.
+    Groups are equal texts. With whole, rows are written once with a number and met again by it."""
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
+    if whole:
+        docs = kept(docs, "shard-docs")
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.md5(body).alias("group"), (~F.col(text).isNull()).alias("_some")
-    )
-    rows = rows.withColumn("size", F.when(F.col("_some"), F.col("size")).otherwise(F.lit(1).cast("long"))).drop("_some")
+    size = F.when(F.col(text).isNull(), F.lit(1)).otherwise(F.octet_length(body) + 1).cast("long")
+    rows = docs.select("_row", F.col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.md5(body).alias("group"))
     rows = kept(rows.withColumn("uid", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "group")), "shard-rows")
-    units = rows.groupBy("uid", "group").agg(F.sum("size").alias("size"))
-    groups = kept(units.groupBy("group").agg(F.min("uid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "hub"), "shard-groups")
-    units = kept(units.join(groups, "group", "left").select("uid", "size", "hub"), "shard-units")
-    placed = propagate(units, shards)
+    units = kept(rows.groupBy("uid", "group").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "shard-units")
+    groups = kept(units.groupBy("group").agg(F.min("uid").alias("hub"), F.count(F.lit(1)).alias("_units")).where("_units > 1").select("group", "hub"), "shard-groups")
+    placed = propagate(units.join(groups, "group", "left").select("uid", "size", "n", "hub"), shards)
     buckets = max(1, -(-rows.count() // ROWS_A_BUCKET))
-    out = rows.join(placed.select("uid", "shard"), "uid").withColumn("_one", F.lit(1)).withColumn("_bucket", _salt("uid", F.lit(7)) % buckets)
-    out = running_total(out, ["shard"], "_bucket", ["uid"], "_one", "slot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    # rows of a unit share a bucket, unless they are more than a bucket's
+    spread = F.when(F.col("n") > ROWS_A_BUCKET, F.col("_row")).otherwise(F.lit(7))
+    out = rows.join(kept(placed.select("uid", "shard", "n"), "shard-placed"), "uid").withColumn("_one", F.lit(1)).withColumn("_bucket", _salt("uid", spread) % buckets)
+    out = running_total(out, ["shard"], "_bucket", ["uid", "_row"], "_one", "slot")
+    out = out.select("_row", "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    if not whole:
+        return out.drop("_row")
+    own = [c for c in out.columns if c not in ("_row", "doc_id")]
+    return docs.drop(*own).join(out.select("_row", *own), "_row").drop("_row")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shard_documents(docs)
+    """All columns of the documents, texts included, and where each row goes."""
+    return shard_documents(docs, whole=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
