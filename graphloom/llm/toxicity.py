@@ -1,18 +1,18 @@
 """Toxicity with noisy-channel deobfuscation.
 
 1. A character trigram model is counted over all documents (native sums of what tasks count with numpy).
-2. Tokens that look disguised (digits or signs among letters, runs of three equal letters, letters set apart by
+2. Tokens that look disguised (digits or signs among letters, runs of equal letters, letters and signs set apart by
    blanks or dots) become lattices: a sign may stand for letters it resembles, a run for one or two letters, a
    separator for nothing. Viterbi decoding finds the likeliest reading under the trigram model and the costs of the
-   channel. Other tokens have one reading, themselves.
+   channel; a word with a doubled letter alone keeps its own spelling beside that. Other tokens have one reading, themselves.
 3. Restored tokens give features: the word, and its beginnings of 3 to 8 letters, as stems are toxic in inflected
-   languages. Weights are smoothed log odds from labelled rows of one half, for features that at least
-   `MIN_DOCUMENTS` toxic documents have.
-4. A logistic model of four numbers of a document (sum, largest and second weight of its distinct tokens, how many
-   have any), fitted on the other half, gives the score. All tokens of whole texts count.
+   languages. Weights are smoothed log odds, for features that at least `MIN_DOCUMENTS` toxic documents have.
+4. A logistic model of a document's numbers (sum, largest and second weight of its distinct tokens, how many have any,
+   whether any reaches each of `STEPS`) gives the score. It is fitted on both halves of the labelled rows, each with weights
+   from the other half; scoring takes weights from both. All tokens of whole texts count.
 
-Fitting takes `FIT_ROWS` labelled rows at most, those with the least hashes, a documented bound; everything else is
-counted over all documents. Labels, languages, sources and ids are no inputs of a score; ids only select rows for
+Fitting takes `FIT_ROWS` labelled rows at most, those with the least hashes, a documented bound, which bounds the
+features too; everything else is counted over all documents. Labels, languages, sources and ids are no inputs of a score; ids only select rows for
 fitting and the held-out third.
 
 Null and empty texts have no tokens: the model's score of an empty text. Null labels and labels without documents
@@ -32,10 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import kept, pieces
+from .common import dropped, kept, pieces
 
-FIT_ROWS, MIN_DOCUMENTS, MIN_WEIGHT, MAX_FEATURES, THRESHOLD = 16_000, 4, 3.0, 50_000, 0.7
+FIT_ROWS, MIN_DOCUMENTS, MIN_WEIGHT, THRESHOLD = 16_000, 4, 3.0, 0.7
+STEPS = (4, 5, 6)
 SHORTEST, LONGEST = 3, 8
 #: Letters that a sign is often written for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -72,17 +74,16 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def language_model(counts: list[tuple[int, int]]) -> np.ndarray:
+def language_model(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """-log P(third | first two), backed off by adding one sixth of a count for each of 64 codes."""
     n = np.zeros(1 << 18)
-    for g, k in counts:
-        n[g] = k
+    n[grams] = counts
     n = n.reshape(4096, 64) + 1 / 6
     return -np.log(n / n.sum(1, keepdims=True)).astype(np.float32).reshape(-1)
 
 
-_RUN = re.compile(r"(.)\1\1+")
-_APART = re.compile(r"(?<!\S)\w(?:[ \t.\-_*]\w){2,}(?!\S)")
+_RUN, _DOUBLE = re.compile(r"(.)\1\1+"), re.compile(r"([^\W\d_])\1")
+_APART = re.compile(r"(?<!\S)[\w$@!|+€](?:(?:[ \t]{1,2}|[.\-_*])[\w$@!|+€]){2,}(?!\S)")
 
 
 def readings(token: str) -> list[list[tuple[str, float]]]:
@@ -91,7 +92,7 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
     for m in re.finditer(r"(.)\1*", token, re.S):
         c, n = m.group(1), len(m.group())
         if c.isalpha():
-            ways = [(c * n, 0.0)] if n < 3 else [(c, COST_RUN), (c * 2, COST_RUN), (c * n, COST_KEPT_SIGN)]
+            ways = [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, COST_RUN)] if n == 2 else [(c, COST_RUN), (c * 2, COST_RUN), (c * n, COST_KEPT_SIGN)]
             out.append(ways)
             continue
         for _ in range(n):
@@ -122,11 +123,9 @@ def decoded(token: str, lm: np.ndarray) -> str:
 def words_in(token: str, lm: np.ndarray) -> tuple[str, ...]:
     """The words of one token between blanks, restored where they look disguised."""
     token = token.strip("\"()[]{}<>,.;:?#%&*=~`^'-_/\\")
-    if token.isalpha() and not _RUN.search(token):
-        return (token,)
-    core = token.rstrip("!|$+@")
+    core = token if token.isalpha() else token.rstrip("!|$+@")
     if core.isalpha() and not _RUN.search(core):
-        return (core,)
+        return tuple(dict.fromkeys((core, decoded(core, lm)))) if _DOUBLE.search(core) else (core,)
     if not any(c.isalpha() for c in token):
         return ()
     parts = tuple(p for p in re.split(r"[^\w]+", token) if p.isalpha())
@@ -179,28 +178,43 @@ def _features_of(words: tuple[str, ...]) -> frozenset[str]:
 
 
 def _counts(rows: DataFrame, lm, only) -> DataFrame:
-    """(feature, n, toxic): in how many rows (text, toxic) a feature occurs; only: the features that count, or None."""
+    """(feature, half, n): in how many rows (text, half) a feature occurs; only: the features that count, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
         reader = Reader(lm.value, _features_of)
         for b in pieces(batches):
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, half in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = frozenset().union(*reader.text(text))
-                found[toxic].update(own if only is None else own & only.value)
-        for toxic, c in found.items():
+                found[half].update(own if only is None else own & only.value)
+        for half, c in found.items():
             names = list(c)
             for i in range(0, len(names), 20_000):
                 part = names[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([c[x] for x in part], pa.int64()), pa.array([toxic] * len(part), pa.int32())], ["feature", "n", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([c[x] for x in part], pa.int64()), pa.array([half] * len(part), pa.int32())], ["feature", "n", "half"])
 
-    return rows.mapInArrow(run, "feature string, n long, toxic int").groupBy("feature", "toxic").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "feature string, n long, half int").groupBy("feature", "half").agg(F.sum("n").alias("n"))
 
 
-def _numbers(weights: list[float]) -> tuple[float, float, float, float]:
-    """Of a document's distinct tokens: sum, largest and second weight, and how many have any."""
+def _numbers(weights: list[float]) -> tuple[float, ...]:
+    """Of a document's distinct tokens: sum, largest and second weight, how many have any, and whether any reaches each step."""
     own = sorted((w for w in weights if w > 0), reverse=True)
-    return math.log1p(sum(own)), own[0] if own else 0.0, own[1] if len(own) > 1 else 0.0, math.log1p(len(own))
+    most = own[0] if own else 0.0
+    return math.log1p(sum(own)), most, own[1] if len(own) > 1 else 0.0, math.log1p(len(own)), *(float(most >= k) for k in STEPS)
+
+
+NUMBERS = 4 + len(STEPS)
+
+
+def _weights(toxic: dict[str, int], clean: dict[str, int], size: tuple[int, int]) -> dict[str, float]:
+    """Log odds of features in toxic and clean documents, of which there are size."""
+    out = {}
+    for f, n in toxic.items():
+        if n >= MIN_DOCUMENTS:
+            w = math.log((n + 0.5) / (size[0] + 1)) - math.log((clean.get(f, 0) + 0.5) / (size[1] + 1))
+            if w >= MIN_WEIGHT:
+                out[f] = w
+    return out
 
 
 def _rated(words: tuple[str, ...], weight: dict[str, float]) -> float:
@@ -225,39 +239,54 @@ def fit(docs: DataFrame, labels: DataFrame, rows_at_most: int = FIT_ROWS) -> tup
     """The language model, the features' weights and the logistic model. Labels of the held-out third are not read."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id"), F.col("text"))
-    lm = spark.sparkContext.broadcast(language_model([(r[0], r[1]) for r in trigram_counts(docs).collect()]))
+    grams = trigram_counts(docs).toArrow()
+    lm = spark.sparkContext.broadcast(language_model(grams.column(0).to_numpy(), grams.column(1).to_numpy()))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("_h", F.md5(F.col("doc_id").cast("string"))).orderBy("_h").limit(rows_at_most).withColumn("half", (F.conv(F.substring("_h", -1, 1), 16, 10).cast("int") % 2))
     fitted = kept(docs.join(known.drop("_h"), "doc_id").select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).cast("int").alias("toxic"), "half"), "tox-fit")
-    halves = fitted.where("half = 0").select("text", "toxic")
-    size = {r[0]: r[1] for r in halves.groupBy("toxic").count().collect()}
+    size = {(r[0], r[1]): r[2] for r in fitted.groupBy("toxic", "half").count().collect()}
+    by_half: list[dict[str, float]] = [{}, {}]
     weight: dict[str, float] = {}
-    if len(size) == 2:
-        first = _counts(halves.where("toxic = 1"), lm, None).where(F.col("n") >= MIN_DOCUMENTS).orderBy(F.col("n").desc(), "feature").limit(MAX_FEATURES)
-        toxic = {r["feature"]: r["n"] for r in first.collect()}
-        only = spark.sparkContext.broadcast(frozenset(toxic))
-        clean = {r["feature"]: r["n"] for r in _counts(halves.where("toxic = 0"), lm, only).collect()}
-        for f, n in toxic.items():
-            w = math.log((n + 0.5) / (size[1] + 1)) - math.log((clean.get(f, 0) + 0.5) / (size[0] + 1))
-            if w >= MIN_WEIGHT:
-                weight[f] = w
-    sent = spark.sparkContext.broadcast(weight)
+    if {t for t, _ in size} == {0, 1}:
+        read = lambda rows: _split_counts(rows.select("feature", "half", "n").toArrow())
+        few = F.sum("n").over(W.partitionBy("feature")) >= MIN_DOCUMENTS
+        toxic = read(_counts(fitted.where("toxic = 1").select("text", "half"), lm, None).withColumn("_few", few).where("_few"))
+        only = spark.sparkContext.broadcast(frozenset(toxic[0]) | frozenset(toxic[1]))
+        clean = read(_counts(fitted.where("toxic = 0").select("text", "half"), lm, only))
+        by_half = [_weights(toxic[h], clean[h], (size.get((1, h), 0), size.get((0, h), 0))) for h in (0, 1)]
+        both = [Counter(x[0]) + Counter(x[1]) for x in (toxic, clean)]
+        weight = _weights(*both, tuple(size.get((t, 0), 0) + size.get((t, 1), 0) for t in (1, 0)))
+        only.destroy()
+    sent = spark.sparkContext.broadcast(by_half)
+    names = [f"x{i}" for i in range(NUMBERS)]
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
-        reader = Reader(lm.value, lambda words: _rated(words, own))
+        # a row is rated by the weights of the half that it isn't in
+        readers = [Reader(lm.value, lambda words, own=own: _rated(words, own)) for own in reversed(sent.value)]
         for b in pieces(batches):
-            got = [_numbers(w) for w in map(reader.text, b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(pa.array([g[i] for g in got], pa.float64()) for i in range(4)), b.column(1)], ["a", "b", "c", "d", "toxic"])
+            got = [_numbers(readers[h].text(t)) for t, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(pa.array([g[i] for g in got], pa.float64()) for i in range(NUMBERS)), b.column(1)], [*names, "toxic"])
 
-    rows = fitted.where("half = 1").select("text", "toxic").mapInArrow(numbers, "a double, b double, c double, d double, toxic int").collect()
-    y = np.array([r[4] for r in rows], float)
+    rows = fitted.select("text", "toxic", "half").mapInArrow(numbers, ", ".join(f"{n} double" for n in names) + ", toxic int").toArrow()
+    y = rows.column(NUMBERS).to_numpy().astype(float)
     if len(y) and 0 < y.mean() < 1:
-        model = _logistic(np.array([r[:4] for r in rows]), y)
+        model = _logistic(np.stack([rows.column(i).to_numpy() for i in range(NUMBERS)], 1), y)
     else:
         p = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
-        model = np.array([0, 0, 0, 0, math.log(p / (1 - p))])
-    return lm.value, weight, model
+        model = np.array([0.0] * NUMBERS + [math.log(p / (1 - p))])
+    found = lm.value, weight, model
+    for b in (lm, sent):
+        b.destroy()
+    dropped(spark, fitted)
+    return found
+
+
+def _split_counts(table: pa.Table) -> list[dict[str, int]]:
+    """Counts by feature of each half."""
+    out: list[dict[str, int]] = [{}, {}]
+    for f, h, n in zip(*(table.column(i).to_pylist() for i in range(3))):
+        out[h][f] = n
+    return out
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, dict[str, float], np.ndarray], text: str = "text") -> DataFrame:
@@ -271,8 +300,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, dict[str, float], np.ndarra
         lm, weight, b = sent.value
         reader = Reader(lm, lambda words: _rated(words, weight))
         for batch in pieces(batches):
-            x = np.array([_numbers(w) for w in map(reader.text, batch.column(at).to_pylist())]).reshape(-1, 4)
-            p = 1 / (1 + np.exp(-np.clip(x @ b[:4] + b[4], -30, 30)))
+            x = np.array([_numbers(w) for w in map(reader.text, batch.column(at).to_pylist())]).reshape(-1, NUMBERS)
+            p = 1 / (1 + np.exp(-np.clip(x @ b[:-1] + b[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=[*rest, "score", "predicted"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double", "predicted int"])

@@ -1,5 +1,6 @@
 """Operators that SQL can't express, on whole small tables against plain Python."""
 
+import itertools
 import random
 import re
 import zlib
@@ -152,6 +153,25 @@ def sf_dir(spark, tmp_path_factory):
     return f"file://{at}"
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab1!i0.", min_size=1, max_size=7), st.integers(0, 5))
+def test_viterbi_is_the_best_of_all_readings(token, seed):
+    lm = np.random.default_rng(seed).uniform(0.1, 8, 1 << 18).astype(np.float32)
+
+    def cost(ways):
+        state, total = 0, 0.0
+        for letters, extra in ways:
+            total += extra
+            for c in toxicity.codes_of(letters).tolist() if letters else ():
+                total += float(lm[(state << 6) | c])
+                state = ((state << 6) | c) & 4095
+        return total + float(lm[state << 6]), "".join(x for x, _ in ways)
+
+    best = min(cost(ways) for ways in itertools.product(*toxicity.readings(token)))
+    got = toxicity.decoded(token, lm)
+    assert min(cost(ways)[0] for ways in itertools.product(*toxicity.readings(token)) if "".join(x for x, _ in ways) == got) == pytest.approx(best[0], abs=1e-4)
+
+
 def test_toxicity_held_out(spark, sf_dir):
     got = toxicity.query(spark, sf_dir).collect()
     held = [x for x in got if x["held_out"] and x["doc_id"] < 600]
