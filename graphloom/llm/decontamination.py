@@ -7,8 +7,8 @@ with counts, and every `SAMPLE`-th position of the text. All windows of all benc
 together; found intervals are located by stepping to sampled positions, and overlapping windows merge to spans.
 
 An index lives only while its shard is searched: a task holds one shard, and a lost executor costs its shards'
-time. Phrases are broadcast in blocks of at most `BLOCK_BYTES` bytes of items; a larger benchmark takes more passes,
-which are chained, without a shuffle. Words are compared by 64-bit hashes; a false hit needs two words that collide
+time. Phrases are broadcast in blocks of at most `BLOCK_BYTES` bytes of items; a shard's index is built once and searched for
+all blocks, one after the other. Words are compared by 64-bit hashes; a false hit needs two words that collide
 next to nine equal ones.
 
 Null texts have no words. Items without words, or null, have no windows; items of fewer than ten words are one
@@ -157,32 +157,42 @@ def phrases_of(items: list[tuple[str, str]], window: int = WINDOW) -> tuple[np.n
     return rows, np.array([len(p) for p in owners], np.int64), [sorted(x) for x in owners.values()], ids
 
 
-def search_shard(texts: pa.Array, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """Document, first word in it, and phrase of each hit; and the shard's words."""
-    starts, ends, h, first = words_of(*buffer_of(texts), ALNUM_CUT)
-    n_docs = len(texts)
-    none = np.zeros(0, np.int64)
-    if not len(h) or not len(phrases):
-        return none, none, none, (starts, ends, first)
-    alphabet, symbols = np.unique(h, return_inverse=True)
-    place = np.searchsorted(alphabet, phrases)
-    known = (place < len(alphabet)) & (alphabet[np.minimum(place, len(alphabet) - 1)] == phrases)
-    usable = np.flatnonzero((known | (np.arange(phrases.shape[1]) < phrases.shape[1] - lengths[:, None])).all(1))
-    if not len(usable):
-        return none, none, none, (starts, ends, first)
-    # 0 ends the shard, 1 ends a document
-    s = np.ones(len(h) + n_docs + 1, np.int64)
-    doc = np.repeat(np.arange(n_docs), np.diff(first))
-    s[np.arange(len(h)) + doc] = symbols + 2
-    s[-1] = 0
-    index = FMIndex(s)
-    low, high = index.search(place[usable] + 2, lengths[usable])
-    found = high - low
-    which = np.repeat(usable, found)
-    spots = index.locate(np.repeat(low, found) + np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found))
-    base = first[:-1] + np.arange(n_docs)  # where each document begins in s
-    hit_doc = np.searchsorted(base, spots, side="right") - 1
-    return hit_doc, spots - base[hit_doc], which, (starts, ends, first)
+class Shard:
+    """Whole documents as one string of symbols, with an index that is built when a phrase first needs it."""
+
+    def __init__(self, texts: pa.Array):
+        self.starts, self.ends, self.h, self.first = words_of(*buffer_of(texts), ALNUM_CUT)
+        self.n_docs = len(texts)
+        self.alphabet, self.symbols = np.unique(self.h, return_inverse=True)
+        self.index = None
+
+    def built(self) -> FMIndex:
+        if self.index is None:
+            # 0 ends the shard, 1 ends a document
+            s = np.ones(len(self.h) + self.n_docs + 1, np.int64)
+            s[np.arange(len(self.h)) + np.repeat(np.arange(self.n_docs), np.diff(self.first))] = self.symbols + 2
+            s[-1] = 0
+            self.index = FMIndex(s)
+        return self.index
+
+    def find(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, first word in it, and phrase of each hit."""
+        none = np.zeros(0, np.int64)
+        if not len(self.h) or not len(phrases):
+            return none, none, none
+        place = np.searchsorted(self.alphabet, phrases)
+        known = (place < len(self.alphabet)) & (self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == phrases)
+        usable = np.flatnonzero((known | (np.arange(phrases.shape[1]) < phrases.shape[1] - lengths[:, None])).all(1))
+        if not len(usable):
+            return none, none, none
+        index = self.built()
+        low, high = index.search(place[usable] + 2, lengths[usable])
+        found = high - low
+        which = np.repeat(usable, found)
+        spots = index.locate(np.repeat(low, found) + np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found))
+        base = self.first[:-1] + np.arange(self.n_docs)  # where each document begins in the symbols
+        doc = np.searchsorted(base, spots, side="right") - 1
+        return doc, spots - base[doc], which
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -207,47 +217,55 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     blocks = max(1, -(-2 * size // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
     rest = [c for c in docs.columns if c not in {"n_words", "spans", "items"}]
     out = docs.select(*[F.col(f"`{c}`") for c in rest], F.lit(0).cast("long").alias("n_words"), F.array().cast(SPAN).alias("spans"), F.array().cast("array<string>").alias("items"))
+    phrases = []
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else rows
-        phrases = spark.sparkContext.broadcast(phrases_of([(r[0], r[1]) for r in part.collect()], window))
-        out = out.mapInArrow(_searcher(phrases, rest.index(text), window), out.schema)
-    return out
+        phrases.append(spark.sparkContext.broadcast(phrases_of([(r[0], r[1]) for r in part.collect()], window)))
+    return out.mapInArrow(_searcher(phrases, rest.index(text)), out.schema)
+
+
+def _once(block):
+    """A broadcast's value, which the worker forgets again: it holds one block of phrases at a time."""
+    value = block.value
+    block.__dict__.pop("_value", None)
+    return value
 
 
-def _searcher(phrases, at: int, window: int):
+def _searcher(phrases: list, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, lengths, owners, ids = phrases.value
+        one = phrases[0].value if len(phrases) == 1 else None
         held, size = [], 0
         for batch in pieces(batches):
             held.append(batch)
             size += batch.column(at).nbytes
             if size >= SHARD_BYTES:
-                yield from shard(held, rows, lengths, owners, ids)
+                yield from searched(held, one)
                 held, size = [], 0
         if held:
-            yield from shard(held, rows, lengths, owners, ids)
+            yield from searched(held, one)
 
-    def shard(held, rows, lengths, owners, ids):
+    def searched(held, one):
         table = pa.Table.from_batches(held).combine_chunks()
         texts = table.column(at).combine_chunks() if table.num_rows else pa.array([], table.schema.field(at).type)
         texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        doc, word, which, (starts, ends, first) = search_shard(texts, rows, lengths)
+        shard = Shard(texts)
         hits: dict[int, list] = defaultdict(list)
         owned: dict[int, set] = defaultdict(set)
-        for d, w, p in zip(doc.tolist(), word.tolist(), which.tolist()):
-            hits[d].append((w, w + int(lengths[p])))
-            owned[d].update(owners[p])
-        _, bounds = buffer_of(texts)
-        old_spans, old_items = table.column(-2).to_pylist() if hits else None, table.column(-1).to_pylist() if hits else None
-        spans, items = table.column(-2), table.column(-1)
+        for block in phrases:
+            rows, lengths, owners, ids = one or _once(block)
+            for d, w, p in zip(*(x.tolist() for x in shard.find(rows, lengths))):
+                hits[d].append((w, w + int(lengths[p])))
+                owned[d].update(ids[i] for i in owners[p])
+        first, (_, bounds) = shard.first, buffer_of(texts)
+        columns = [pa.array(np.diff(first), pa.int64()), table.column(-2), table.column(-1)]
         if hits:
+            spans, items = table.column(-2).to_pylist(), table.column(-1).to_pylist()
             for d, own in hits.items():
-                ranges = merged(own + [(x["first"], x["last"]) for x in old_spans[d]])
-                old_spans[d] = [{"first": a, "last": b, "start": int(starts[first[d] + a] - bounds[d]), "end": int(ends[first[d] + b - 1] - bounds[d])} for a, b in ranges]
-                old_items[d] = sorted({*old_items[d], *(ids[i] for i in owned[d])})
-            spans, items = pa.array(old_spans, spans.type), pa.array(old_items, items.type)
-        table = table.set_column(table.num_columns - 3, table.schema.field(table.num_columns - 3), pa.array(np.diff(first), pa.int64()))
-        table = table.set_column(table.num_columns - 2, table.schema.field(table.num_columns - 2), spans).set_column(table.num_columns - 1, table.schema.field(table.num_columns - 1), items)
+                spans[d] = [{"first": a, "last": b, "start": int(shard.starts[first[d] + a] - bounds[d]), "end": int(shard.ends[first[d] + b - 1] - bounds[d])} for a, b in merged(own)]
+                items[d] = sorted(owned[d])
+            columns[1:] = [pa.array(spans, table.column(-2).type), pa.array(items, table.column(-1).type)]
+        for k, column in zip((3, 2, 1), columns):
+            table = table.set_column(table.num_columns - k, table.schema.field(table.num_columns - k), column)
         yield from table.to_batches()
 
     return run
