@@ -2,8 +2,8 @@
 
 Payloads are digested first (SHA-1, natively). Of equal payloads of at least `least` bytes the row with the largest
 page id is a response; the others become revisits that name it. Rows are then cut into shards by ranges of page id:
-blocks of 1024 ids are summed and shards are cut on the running sum, so the cut depends on the data alone. A task
-sorts its shard by id and writes gzip members, one a record, rolling to the next file once a file has `roll`
+blocks of 1024 ids are summed and shards are cut on the running sum, so the cut depends on the data alone (rows without
+an id are dealt to 4096 blocks by hash). A task sorts its shard by id and writes gzip members, one a record, rolling to the next file once a file has `roll`
 compressed bytes; headers, lengths and digests are made anew from the payload. Dates come from `date`, ids from page
 ids, so the same rows give the same bytes.
 
@@ -21,19 +21,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import kept, scratch, pieces
 
-SHARD_BYTES, ROLL, DATE = 8 << 20, 16 << 20, "2024-01-01T00:00:00Z"
+SHARD_BYTES, ROLL, DATE = 32 << 20, 4 << 20, "2024-01-01T00:00:00Z"
 BLOCK = 1024
 
 
@@ -88,30 +89,40 @@ def parse(data: bytes) -> dict:
     return {"fields": fields, "payload": payload, "size": size, "digest": stated}
 
 
-def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with refers_to, null for responses. Equal payloads are summed before they are shuffled."""
-    own = pages.select("page_id", F.sha1("html").alias("sha"), F.octet_length("html").alias("n"))
-    last = own.where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("rows")).where("rows > 1 AND last IS NOT NULL")
-    last = kept(last.select("sha", "last"), "warc-last")
-    return pages.withColumn("sha", F.sha1("html")).join(last, "sha", "left").withColumn(
-        "refers_to", F.when((F.octet_length("html") >= least) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    ).drop("sha", "last")
+def revisits(rows: DataFrame, least: int = 0) -> DataFrame:
+    """(block, page_id, sha, refers_to) of those of rows (block, page_id, html) that are revisits. Payloads are digested where they lie; only ids
+    and digests are shuffled, and equal payloads are summed before."""
+    own = kept(rows.where(F.octet_length("html") >= least).select("block", "page_id", F.sha1("html").alias("sha")), "warc-digests")
+    last = own.groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1 AND last IS NOT NULL")
+    last = kept(last.select("sha", "last"), "warc-last")  # written first, so that the join with a hot digest can be split
+    return own.join(last, "sha").where(~F.col("page_id").eqNullSafe(F.col("last"))).select("block", "page_id", "sha", F.col("last").alias("refers_to")).distinct()
+
+
+def _block(page_id: Column, url: Column, html: Column) -> Column:
+    """Of 1024 ids; rows without an id are dealt by hash, before all others."""
+    return F.coalesce(F.floor(page_id / BLOCK), F.pmod(F.xxhash64(url, html), F.lit(4096)) - (1 << 60)).cast("long")
 
 
 def write_warc(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SHARD_BYTES, roll: int = ROLL, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes all pages under out, a folder that driver and executors share; returns the manifest (file, shard, records, bytes, sha256)."""
+    """Writes all pages under out, a folder that driver and executors share; returns the manifest (file, shard, records, bytes, sha256).
+
+    Payloads move once, to their shard's task. What a revisit names comes there as a row of its own, sorted before the page.
+    The defaults suit tables of some GB; a corpus of many TB wants shards of a GB and files of 100 MB.
+    """
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    block = F.coalesce(F.floor(F.col("page_id") / BLOCK), F.lit(-(1 << 60))).cast("long")
-    sizes = rows.groupBy(block.alias("block")).agg(F.sum(F.octet_length("html") + 512).alias("n"))
-    # one row for 1024 ids: groups of 4096 such blocks are summed first, so that no window holds them all
+    rows = rows.withColumn("block", _block(F.col("page_id"), F.col("url"), F.col("html")))
+    sizes = rows.groupBy("block").agg(F.sum(F.octet_length("html") + 512).alias("n"))
+    # one row for 1024 ids: groups of 4096 such blocks are summed first, so that no window holds them all; one row for 4 million ids is left
     sizes = sizes.withColumn("far", F.floor(F.col("block") / 4096).cast("long"))
     far = sizes.groupBy("far").agg(F.sum("n").alias("n")).select("far", F.coalesce(F.sum("n").over(W.orderBy("far").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("far").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     shards = kept(sizes.withColumn("_b", before).join(far, "far").select("block", F.floor((F.col("base") + F.col("_b")) / shard_bytes).cast("long").alias("shard")), "warc-shards")
     n = (shards.agg(F.max("shard")).first()[0] or 0) + 1
-    placed = with_revisits(rows, least).withColumn("block", block).join(shards, "block")
-    placed = placed.select("shard", "page_id", "url", "html", "refers_to").repartition(min(int(n), 100_000), "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    payload = rows.select("block", "page_id", F.sha1("html").alias("sha"), F.lit(1).alias("page"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    told = revisits(rows, least).select("block", "page_id", "sha", F.lit(0).alias("page"), F.lit("").alias("url"), F.lit("").alias("html"), "refers_to")
+    placed = payload.unionByName(told).join(shards, "block").select("shard", "page_id", "sha", "page", "url", "html", "refers_to")
+    placed = placed.repartition(min(int(n), 100_000), "shard").sortWithinPartitions("shard", "page_id", "sha", "page", "url")
     base = out.rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +138,13 @@ def write_warc(pages: DataFrame, out: str, least: int = 0, shard_bytes: int = SH
                 done.append((*row, sha.hexdigest()))
                 open_file = None
 
-        shard, seq = None, 0
+        shard, seq, told, at = None, 0, None, None
         for batch in pieces(batches):
-            for s, i, u, h, ref in zip(*(c.to_pylist() for c in batch.columns)):
+            for s, i, sha, page, u, h, ref in zip(*(c.to_pylist() for c in batch.columns)):
+                if not page:
+                    told, at = ref, (s, i, sha)
+                    continue
+                ref = told if at == (s, i, sha) else None
                 if open_file and (s != shard or open_file[1][5] >= roll):
                     close()
                 if s != shard:
@@ -172,11 +187,15 @@ def _commit(spark: SparkSession, base: str, used: DataFrame) -> None:
     files.delete(path("_temporary"), True)
 
 
+def _number(record_id: str | None) -> int | None:
+    """The page id in a record's id; null for ids of other forms."""
+    m = re.fullmatch(r"<urn:page:(-?\d+)>", record_id or "")
+    return int(m.group(1)) if m else None
+
+
 def read_warc(spark: SparkSession, out: str) -> DataFrame:
     """Records of the files in a folder: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (empty for revisits)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(out).select("content")
-    number = lambda x: None if x is None or x == "<urn:page:null>" else int(x[len("<urn:page:") : -1])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -185,7 +204,7 @@ def read_warc(spark: SparkSession, out: str) -> DataFrame:
                 for data in members(raw):
                     r = parse(data)
                     f = r["fields"]
-                    rows.append((number(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["WARC-Type"], number(f.get("WARC-Refers-To")), r["size"], r["digest"], r["payload"]))
+                    rows.append((_number(f["WARC-Record-ID"]), f["WARC-Target-URI"], f["WARC-Type"], _number(f.get("WARC-Refers-To")), r["size"], r["digest"], r["payload"]))
                     size += len(data)
                     if size > 4 << 20:
                         yield batch_of(rows)

@@ -101,6 +101,9 @@ def test_warc_round_trip(spark, tmp_path):
     assert (tmp_path / "a/manifest.json").exists() and not (tmp_path / "a/_temporary").exists()
     got = warc.read_warc(spark, f"file://{tmp_path}/a").select("page_id", "record_type", "refers_to", "payload_bytes").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, "revisit", 2, 5000), (2, "response", None, 5000), (3, "revisit", 4, 0), (4, "response", None, 0), (4, "response", None, 0), (None, "response", None, 2)], key=str)
+    many = spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    rolled = warc.write_warc(many, f"file://{tmp_path}/rolled", shard_bytes=1 << 20, roll=2000).collect()
+    assert len({r["shard"] for r in rolled}) == 1 and len(rolled) > 3 and sum(r["records"] for r in rolled) == 40
     warc.write_warc(pages.limit(0), f"file://{tmp_path}/none")
     assert (tmp_path / "none/manifest.json").exists()
 
