@@ -3,8 +3,9 @@
 Pixels are uint8 arrays, (height, width) for grey and (height, width, 3) for colour. Netpbm is read in its plain and
 raw forms P1 to P6 with up to 8 bits a sample (maxval up to 255, samples kept as they are stored), BMP uncompressed with 8 (palette), 24 or 32
 bits. Resizing is by exact area: an integral image, read between pixels by linear interpolation, gives the sum over
-any rectangle, so every source pixel counts by the part of it that a target pixel covers. The difference hash
-compares neighbours of an area-resized grey image of 8 rows of 9; it is 16 hexadecimal digits.
+any rectangle, so every source pixel counts by the part of it that a target pixel covers. The integral image is worked out in
+strips of rows. Tiles are NPY files of float32 means; the difference hash compares neighbours in a tile of 8 rows of 9 and
+is 16 hexadecimal digits.
 
 Broken or unsupported bytes and nulls give null pixels, tile and hash; nothing is dropped. Rows are independent of
 each other, so repeated rows give repeated results; an empty table gives an empty one. Columns beside those named
@@ -26,6 +27,8 @@ from .common import kept, pieces
 
 WIDTH = 64
 TILE = (8, 9)
+STRIP = 4096
+BRIGHTER = 1e-3  # beyond the rounding of float32
 
 
 def _header(raw: bytes, fields: int) -> tuple[list[int], int]:
@@ -106,25 +109,37 @@ def grey(pixels: np.ndarray) -> np.ndarray:
     return pixels if pixels.ndim == 2 else (pixels @ np.array([299, 587, 114])) / 1000
 
 
-def _cuts(n: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cuts(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(parts + 1) * (n / parts)
     low = np.minimum(at.astype(np.int64), n - 1)
-    return low, at - low, at
+    return low, at - low
+
+
+def _integral_rows(pixels: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Rows of the integral image (row i sums what lies above i), worked out in strips, so that a tall picture isn't held as floats."""
+    h, w = pixels.shape
+    out, carry = np.zeros((len(wanted), w + 1)), np.zeros(w + 1)
+    for top in range(0, h, STRIP):
+        part = np.zeros((min(STRIP, h - top) + 1, w + 1))
+        np.cumsum(np.cumsum(pixels[top : top + STRIP], 0, dtype=np.float64), 1, out=part[1:, 1:])
+        part += carry
+        inside = (wanted >= top) & (wanted <= top + len(part) - 1)
+        out[inside] = part[wanted[inside] - top]
+        carry = part[-1]
+    return out
 
 
 def area_resized(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean over the area that each target pixel covers, float64."""
     h, w = pixels.shape
-    total = np.zeros((h + 1, w + 1), np.float64)
-    np.cumsum(np.cumsum(pixels, 0, dtype=np.float64), 1, out=total[1:, 1:])
-    (y, fy, _), (x, fx, _) = _cuts(h, height), _cuts(w, width)
-    rows = total[y] * (1 - fy)[:, None] + total[y + 1] * fy[:, None]
+    (y, fy), (x, fx) = _cuts(h, height), _cuts(w, width)
+    rows = _integral_rows(pixels, y) * (1 - fy)[:, None] + _integral_rows(pixels, y + 1) * fy[:, None]
     at = rows[:, x] * (1 - fx) + rows[:, x + 1] * fx
     return np.diff(np.diff(at, axis=0), axis=1) / ((h / height) * (w / width))
 
 
 def tile_of(pixels: np.ndarray, size: tuple[int, int] = TILE) -> np.ndarray:
-    return np.clip(np.rint(area_resized(grey(pixels), *size)), 0, 255).astype(np.uint8)
+    return area_resized(grey(pixels), *size).astype(np.float32)
 
 
 def npy(array: np.ndarray) -> bytes:
@@ -133,9 +148,9 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def difference_hash(pixels: np.ndarray) -> str:
-    small = area_resized(grey(pixels), *TILE)
-    return np.packbits((np.diff(small, axis=1) > 1e-9).ravel()).tobytes().hex()
+def difference_hash(small: np.ndarray) -> str:
+    """A bit for each pair of neighbours in a row of a tile: whether the right one is brighter."""
+    return np.packbits((np.diff(small, axis=1) > BRIGHTER).ravel()).tobytes().hex()
 
 
 def text_image(raw: bytes) -> bytes:
@@ -160,6 +175,7 @@ def text_media(docs: DataFrame, text: str = "text") -> DataFrame:
 def decoded(rows: DataFrame, media: str = "media", tile: tuple[int, int] = TILE) -> DataFrame:
     """rows with height, width, channels, pixels (samples row by row), tile (NPY bytes) and dhash, all read from the stored bytes."""
     own = {"height": "int", "width": "int", "channels": "int", "pixels": "binary", "tile": "binary", "dhash": "string"}
+    same = tile == TILE
     rest = [c for c in rows.columns if c not in own]
     rows = rows.select(*[F.col(f"`{c}`") for c in rest])
     at = rest.index(media)
@@ -170,19 +186,42 @@ def decoded(rows: DataFrame, media: str = "media", tile: tuple[int, int] = TILE)
             got = []
             for raw in b.column(at).to_pylist():
                 p = decode(raw)
-                got.append((None,) * 6 if p is None else (p.shape[0], p.shape[1], 3 if p.ndim == 3 else 1, p.tobytes(), npy(tile_of(p, tile)), difference_hash(p)))
+                if p is None:
+                    got.append((None,) * 6)
+                    continue
+                small = tile_of(p, tile)
+                got.append((p.shape[0], p.shape[1], 3 if p.ndim == 3 else 1, p.tobytes(), npy(small), difference_hash(small if same else tile_of(p))))
             cols = [pa.array([g[i] for g in got], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*rest, *own])
 
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{k} {t}" for k, t in own.items())]))
 
 
+def tile_hashes(rows: DataFrame, tile: str = "tile") -> DataFrame:
+    """rows with tile_hash: the difference hash of stored NPY tiles of 8 rows of 9; null for null, broken and other tiles."""
+    rest = [c for c in rows.columns if c != "tile_hash"]
+    rows = rows.select(*[F.col(f"`{c}`") for c in rest])
+    at = rest.index(tile)
+
+    def hashed(raw: bytes | None) -> str | None:
+        try:
+            array = None if raw is None else np.load(io.BytesIO(raw), allow_pickle=False)
+        except (ValueError, EOFError):
+            return None
+        return None if array is None or array.shape != TILE else difference_hash(array)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(hashed, b.column(at).to_pylist()), pa.string())], names=[*rest, "tile_hash"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "tile_hash string"]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as a picture in the shared folder, read back, and described from what was read."""
+    """Every text stored as a picture in the shared folder and read back; its tile written as NPY and read back for the feature."""
     stored = kept(text_media(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text"), "media")
-    read = decoded(stored)
     pixels = F.col("pixels")
-    return read.select(
+    tiles = decoded(stored).select(
         "doc_id",
         "n_bytes",
         F.octet_length(pixels).cast("long").alias("payload_bytes"),
@@ -190,9 +229,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring(pixels, -WIDTH, WIDTH)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.col("dhash").alias("feature"),
+        "tile",
     )
-
-
-ORACLE = None
-
+    return tile_hashes(kept(tiles, "tiles")).drop("tile").withColumnRenamed("tile_hash", "feature")
+
+
+#: The CRC is folded bit by bit over the last 64 bytes; the feature sums bytes by the part of each tile pixel that they cover.
+ORACLE = f"""
+    WITH t AS (SELECT row_number() OVER () r, doc_id, encode(coalesce(text, '')) b FROM documents),
+    d AS (SELECT *, octet_length(b)::bigint n, greatest(1, (octet_length(b) + {WIDTH - 1}) // {WIDTH})::bigint h FROM t),
+    x AS (SELECT *, regexp_extract_all(hex(b) || repeat('00', (h * {WIDTH} - n)::int), '..') q FROM d),
+    p AS (SELECT *, from_hex(array_to_string(q, '')) payload FROM x),
+    m AS (SELECT *, from_hex(hex(encode('P5' || chr(10) || '{WIDTH} ' || h || chr(10) || '255' || chr(10))) || array_to_string(q, '')) media FROM p),
+    z AS (SELECT r, list_transform(q, lambda y: ('0x' || y)::int) v FROM x),
+    c AS (SELECT r, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(v[-{WIDTH}:], lambda y: [y::bigint, 0, 0, 0, 0, 0, 0, 0]))), lambda a, y: xor(xor(a, y) >> 1, 3988292384 * (xor(a, y) & 1))), 4294967295) AS crc FROM z),
+    w AS (SELECT g.i AS col, j.i AS part, least(g.i + 1, (j.i + 1) * {WIDTH} / {float(TILE[1])}) - greatest(g.i, j.i * {WIDTH} / {float(TILE[1])}) AS cover FROM range({WIDTH}) g(i), range({TILE[1]}) j(i)),
+    u AS (SELECT r, (i - 1) // {WIDTH} AS line, (i - 1) % {WIDTH} AS col, y FROM (SELECT r, unnest(v) y, generate_subscripts(v, 1) i FROM z)),
+    s AS (SELECT r, line, part, sum(y * cover)::double AS total FROM u JOIN w USING (col) WHERE cover > 0 GROUP BY ALL),
+    e AS (SELECT r, k.i AS row_, part, sum(total * (least(line + 1, (k.i + 1) * h / {float(TILE[0])}) - greatest(line, k.i * h / {float(TILE[0])})))::double / (h / {float(TILE[0])} * ({WIDTH} / {float(TILE[1])})) AS mean
+        FROM s JOIN d USING (r), range({TILE[0]}) k(i) WHERE least(line + 1, (k.i + 1) * h / {float(TILE[0])}) > greatest(line, k.i * h / {float(TILE[0])}) GROUP BY r, h, row_, part),
+    f AS (SELECT r, row_, part, mean::float - lag(mean::float) OVER (PARTITION BY r, row_ ORDER BY part) > {BRIGHTER} AS brighter FROM e),
+    g AS (SELECT r, string_agg(o, '' ORDER BY row_) feature FROM (SELECT r, row_, lower(printf('%02x', sum(CASE WHEN brighter THEN 1 << ({TILE[1] - 1} - part)::int ELSE 0 END)::int)) o FROM f WHERE part > 0 GROUP BY r, row_) GROUP BY r)
+    SELECT doc_id, n AS n_bytes, h * {WIDTH} AS payload_bytes, sha256(payload) AS payload_sha256, crc AS tail_crc32, octet_length(media)::bigint AS media_bytes, sha256(media) AS media_sha256, feature
+    FROM m JOIN c USING (r) JOIN g USING (r)"""

@@ -21,5 +21,6 @@ ORACLES = {
     "op2_pareto_mix": mixing.ORACLE,
     "op3_reply_trees": chat.ORACLE,
     "op4_warc_writer": warc.ORACLE,
+    "op5_media_tiles": media.ORACLE,
     "op8_fm_index": decontamination.ORACLE,
 }
