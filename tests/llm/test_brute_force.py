@@ -1,6 +1,7 @@
 """Operators that SQL can't express, on whole small tables against plain Python."""
 
 import itertools
+import os
 import random
 import re
 import zlib
@@ -106,6 +107,45 @@ def test_edits_count_like_a_new_text(text, edits):
     for at, cut, new in edits:
         text, _ = token_counts.edited(text, tree, at, cut, new, count)
         assert tree.total == len(count.encode(text)) and sum(tree.leaves()[0]) == len(text)
+        assert token_counts.Tree.of(*tree.flat()).flat() == tree.flat()
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 9), max_size=300), st.lists(st.tuples(st.floats(0, 1), st.floats(0, 1), st.lists(st.integers(1, 9), max_size=90)), max_size=6))
+def test_tree_keeps_sums_through_splits_and_joins(leaves, changes):
+    def checked(node):
+        if node[3] is not None:
+            assert len(node[3]) <= token_counts.FAN and len({checked(k) for k in node[3]}) <= 1  # all leaves are as deep
+            assert node[:3] == [sum(k[i] for k in node[3]) for i in range(3)]
+        return 1 + max((checked(k) for k in node[3] or ()), default=0)
+
+    tree = token_counts.Tree(leaves, [2 * x for x in leaves])
+    for a, b, new in changes:
+        lo, hi = sorted((int(a * len(leaves)), int(b * len(leaves))))
+        tree.replace(lo, hi, new, [2 * x for x in new])
+        leaves = leaves[:lo] + new + leaves[hi:]
+        assert tree.leaves() == (leaves, [2 * x for x in leaves]) and tree.n == len(leaves)
+        checked(tree.root)
+        for at in range(0, sum(leaves), 7):
+            number, start = tree.leaf_at(at)
+            assert sum(leaves[:number]) == start <= at < start + leaves[number]
+
+
+def test_token_query_counts_what_a_tokenizer_counts(spark):
+    """The query's own rows against encoding the texts and the edited texts anew."""
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("no tables here")
+    count = token_counts.Counter()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()}
+    for r in token_counts.query(spark, at).collect():
+        t = texts[r["doc_id"]]
+        n = len(t)
+        new = t
+        for pos, cut, insert in ((n // 4, 8, "[MASKED]"), (n // 2, 0, " (note: checked) "), (n * 3 // 4, 24, "")):
+            pos = min(pos, len(new))
+            new = new[:pos] + insert + new[pos + cut :]
+        assert (r["n_tokens"], r["n_tokens_edited"], r["n_chars_edited"]) == (len(count.encode(t)), len(count.encode(new)), len(new))
 
 
 def test_shards_are_even_and_keep_links(spark):
