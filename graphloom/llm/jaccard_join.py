@@ -243,7 +243,7 @@ def _centres(runs: DataFrame) -> DataFrame:
     return all_.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
 
 
-def _bits_of(spark: SparkSession, keys: DataFrame, distinct: int) -> tuple[object, int]:
+def _bitmap(spark: SparkSession, keys: DataFrame, distinct: int) -> tuple[object, int]:
     """A broadcast bitmap of keys (key), and its size in bits less one."""
     bits = min(BITMAP, max(15, (32 * distinct).bit_length()))
     place = F.pmod(F.col("key"), F.lit(1 << bits)) + 1  # buckets and bits are numbered from 1
@@ -255,8 +255,9 @@ def _bits_of(spark: SparkSession, keys: DataFrame, distinct: int) -> tuple[objec
     return spark.sparkContext.broadcast(out), (1 << bits) - 1
 
 
-def _chosen_sets(docs: DataFrame, chosen, mask: int) -> DataFrame:
-    """(key, n, tokens) of the sets that a bitmap has; copies in other tasks may repeat a set."""
+def _chosen_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, n, tokens) of the sets of keys (key), a written table, and of others that share a bit with one; written."""
+    chosen, mask = _bitmap(docs.sparkSession, keys, keys.count())
 
     def run(batches):
         done: set[int] = set()
@@ -272,8 +273,11 @@ def _chosen_sets(docs: DataFrame, chosen, mask: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["key", "n", "tokens"])
 
-    # one row a key: copies are hashed apart, and the first is as good as any
-    return docs.mapInArrow(run, "key long, n long, tokens binary").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    # one row a key: copies in other tasks are hashed apart, and the first is as good as any
+    got = docs.mapInArrow(run, "key long, n long, tokens binary").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    got = kept(got, "jac-sets")
+    chosen.destroy()
+    return got
 
 
 def _rows_of(table: pa.Table, *columns: str) -> list[tuple]:
@@ -391,7 +395,7 @@ def _block_pairs(post: DataFrame, member: DataFrame) -> DataFrame:
     return pairs.where(F.col("shared") >= 1 + F.floor(F.col("low") / 16)).select("block", "other")
 
 
-def _matrix_links(runs: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame | None:
+def _matrix_links(docs: DataFrame, runs: DataFrame, centres: DataFrame, labels: DataFrame) -> DataFrame | None:
     """Links by the token-group matrix; None if no blocks can have any."""
     post = runs.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("key"), F.col("na").alias("n"))
     post = post.join(labels.select(F.col("node").alias("key"), F.col("comp").alias("linked")), "key", "left").withColumn("alone", F.col("linked").isNull()).withColumn("linked", F.coalesce("linked", "key"))
@@ -401,6 +405,9 @@ def _matrix_links(runs: DataFrame, centres: DataFrame, labels: DataFrame, sets:
     pairs = kept(_block_pairs(post, member), "jac-pairs")
     if pairs.isEmpty():
         return None
+    met = pairs.select("block").union(pairs.select("other")).distinct()
+    member = member.join(kept(met, "jac-met"), "block", "left_semi")
+    sets = _chosen_sets(docs, kept(member.select("key"), "jac-keys"))
     cross = pairs.where("block <> other")
     asked = cross.select(F.col("other").alias("block")).distinct()
     matrix = kept(member.join(asked, "block", "left_semi").select("block", "key").join(sets, "key").select("block", "tokens").groupBy("block").applyInArrow(_union, "block long, tokens binary"), "jac-matrix")
@@ -426,24 +433,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     described = kept(_described(docs, bits), "jac-described")
     summary = described.where("part IS NULL").select("doc_id", "n", "name", "key")
     classes = kept(summary.where("n > 0").groupBy("name", "key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jac-classes")
-    total, distinct = summary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], classes.count()
+    total = summary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = _frequent(described.where("part IS NOT NULL").select("part", "tokens", "again", "counts"), total).toArrow().sort_by("token")
     frequent = spark.sparkContext.broadcast((hot.column(0).to_numpy().astype(np.uint64), hot.column(1).to_numpy()))
     runs = kept(_postings(docs, bits, frequent).groupBy("part").applyInArrow(_runs, RUNS), "jac-runs")
     frequent.destroy()
-    chosen, mask = _bits_of(spark, runs.where("kind = 2").select(F.col("b").alias("key")), distinct)
-    sets = kept(_chosen_sets(docs, chosen, mask), "jac-sets")
-    chosen.destroy()
     centres = kept(_centres(runs), "jac-centres")
-    enough = F.col("shared") >= 1 + F.floor(F.least("na", "nb") / 16)
-    links = kept(_centre_links(centres.where(enough).select("a", "b"), sets), "jac-links")
+    near = centres.where(F.col("shared") >= 1 + F.floor(F.least("na", "nb") / 16)).select("a", "b")
+    keys = kept(near.select(F.col("a").alias("key")).union(near.select("b")).distinct(), "jac-keys")
+    links = kept(_centre_links(near, _chosen_sets(docs, keys)), "jac-links")
     labels = components(links)
-    more = _matrix_links(runs, centres, labels, sets)
+    more = _matrix_links(docs, runs, centres, labels)
     if more is not None:
         more = kept(more, "jac-links")
         if not more.isEmpty():
             labels = components(links.union(more))
-    for done in (runs, sets, centres):
+    for done in (runs, centres):
         dropped(spark, done)
     named = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least_id = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
