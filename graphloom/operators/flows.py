@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import reach, shortest_paths
+from ..plans.fixpoint import reach, reached, shortest_paths
 from ..plans.graph import Graph
 from ..plans.storage import kept
 
@@ -215,8 +215,9 @@ def fact_closure(base: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def invalidated_by(supports: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts (id) with all that rest on them; supports (fact_id, support_id)."""
-    return reach(facts.select(F.col("id").alias("origin"), F.col("id").alias("node")), supports.select(F.col("support_id").alias("src"), F.col("fact_id").alias("dst"))).select(F.col("node").alias("id")).distinct()
+    return reached(facts.select("id"), supports.select(F.col("support_id").alias("src"), F.col("fact_id").alias("dst"))).select(F.col("node").alias("id"))
 
 
 def support_chain(supports: DataFrame, facts: DataFrame) -> DataFrame:
-    return reach(facts.select(F.col("id").alias("origin"), F.col("id").alias("node")), supports.select(F.col("fact_id").alias("src"), F.col("support_id").alias("dst"))).select(F.col("node").alias("id")).distinct()
+    """Facts (id) with all that they rest on."""
+    return reached(facts.select("id"), supports.select(F.col("fact_id").alias("src"), F.col("support_id").alias("dst"))).select(F.col("node").alias("id"))

@@ -223,8 +223,8 @@ def is_test_path(path: Column) -> Column:
     return folders | stem.rlike("^(mock_|fake_|test_)") | stem.rlike(r"(_test|_tests|_mock|_fake|\.test|\.spec)$")
 
 
-def resolve_calls(graph: Graph, test_code: bool = False) -> DataFrame:
-    """CALL edges by a ladder of rungs; each call takes the first rung that gives an answer.
+def resolve_calls(graph: Graph, test_code: bool = False, only: DataFrame | None = None) -> DataFrame:
+    """CALL edges by a ladder of rungs, of all calls or of only those given (id); each call takes the first rung that gives an answer.
 
     Candidates share the call's simple name; calls in production files see none in test files. One candidate is
     taken. With a receiver type: methods of that type (the first), else of its ancestors, else of its implementors
@@ -247,6 +247,7 @@ def resolve_calls(graph: Graph, test_code: bool = False) -> DataFrame:
     methods = nodes.where("kind = 'METHOD' AND name IS NOT NULL").select(F.col("id").alias("target"), "name", F.col("type_full_name").alias("owner"), F.coalesce("file_id", F.lit(-1)).alias("file"), seen.alias("scope"))
     methods = kept(methods.join(n_params, "target", "left").withColumn("n", F.coalesce("_n", F.lit(0))).drop("_n"), "resolve-methods")
     calls = nodes.where("kind = 'CALL' AND name IS NOT NULL").select(F.col("id").alias("call"), "name", F.col("type_full_name").alias("hint"), F.coalesce("file_id", F.lit(-2)).alias("file"), "receiver_name", "method_id", test.alias("scope"))
+    calls = calls if only is None else calls.join(only.select(F.col("id").alias("call")), "call", "left_semi")
     # a missing hint comes from the member of the enclosing class that the receiver names, where that is unambiguous
     fields = graph.e("AST").join(graph.of_kind("MEMBER").select(F.col("id").alias("dst"), F.col("name").alias("receiver_name"), F.col("type_full_name").alias("_t")), "dst").join(graph.of_kind("TYPE_DECL").select(F.col("id").alias("src"), F.col("name").alias("_class")), "src")
     fields = fields.groupBy("_class", "receiver_name").agg(F.min("_t").alias("_member"), F.countDistinct("_t").alias("_n")).where("_n = 1")

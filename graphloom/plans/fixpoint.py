@@ -40,6 +40,11 @@ def reach(seed: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, m
     return seen
 
 
+def reached(seed: DataFrame, edges: DataFrame, blocked: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """(node, depth): what any of seed (its first column) reaches; nodes are kept once, whoever reaches them."""
+    return reach(seed.select(F.lit(0).alias("origin"), F.col(seed.columns[0]).alias("node")), edges, blocked, max_depth).select("node", "depth")
+
+
 def closure(pairs: DataFrame) -> DataFrame:
     """Transitive closure of (a, b) by squaring: paths double, so the longest path costs its logarithm in rounds."""
     known = kept(pairs.select("a", "b").distinct(), "closure")
@@ -59,8 +64,8 @@ def shortest_paths(seed: DataFrame, edges: DataFrame, targets: DataFrame, blocke
     Only the nodes that the targets can be reached from are walked (a reverse pass comes first), and each pair
     (origin, node) keeps one path, so that cycles end without max_depth.
     """
-    back = reach(targets.select(F.col(targets.columns[0]).alias("origin")).select("origin", F.col("origin").alias("node")), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), blocked, max_depth)
-    useful = kept(back.select("node").distinct(), "useful")
+    back = reached(targets, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), blocked, max_depth)
+    useful = kept(back.select("node"), "useful")
     steps = kept(edges.select("src", "dst").distinct().join(useful.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "steps")
     frontier = kept(seed.select("origin", "node").distinct().join(useful, "node", "left_semi").select("origin", "node", F.lit(0).alias("depth"), F.array("node").alias("path")), "paths")
     seen, depth = frontier, 0

@@ -14,9 +14,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .fixpoint import reach, shortest_paths
+from .fixpoint import reach, reached, shortest_paths
 from .graph import Graph
+from .storage import kept
 
 
 class QueryError(ValueError):
@@ -145,6 +147,8 @@ def check(steps: list[Step], root: bool) -> None:
             raise QueryError(f"unsupported step {s.name}")
         if root and i == 0 and s.name not in KINDS and s.name != "all":
             raise QueryError(f"{s.name} can't start a query")
+        if not root and (s.name in TERMINAL or s.name == "reachableByFlows"):
+            raise QueryError(f"{s.name} can't stand inside a condition")
         if s.name in TERMINAL or (s.name in PROPERTIES and s.args is None and i + 1 < len(steps) and steps[i + 1].name not in (*TERMINAL, "dedup", "limit", "take", "sorted")):
             if s.name in TERMINAL:
                 ended = s.name
@@ -185,11 +189,11 @@ def _inside(graph: Graph, rows: DataFrame, kinds) -> DataFrame:
 
 def _closure(graph: Graph, rows: DataFrame, kind: str) -> DataFrame:
     keep = [c for c in ("_row",) if c in rows.columns]
-    all_ = reach(rows.select(F.col("id").alias("origin"), F.col("id").alias("node")), graph.e(kind))
     if keep:
+        all_ = reach(rows.select(F.col("id").alias("origin"), F.col("id").alias("node")), graph.e(kind))
         found = rows.select(F.col("id").alias("origin"), *keep).join(all_, "origin").select(F.col("node").alias("id"), *keep).distinct()
     else:
-        found = all_.select(F.col("node").alias("id")).distinct()
+        found = reached(rows.select("id"), graph.e(kind)).select(F.col("node").alias("id"))
     return found.join(graph.nodes, "id").select(*graph.nodes.columns, *keep)
 
 
@@ -224,10 +228,15 @@ def _repeat(graph: Graph, rows: DataFrame, s: Step) -> DataFrame:
     if times is None and until is None:
         raise QueryError("repeat needs times, maxDepth or until")
     now, out = rows, [rows] if emit and not skip_first else []
-    depth, limit = 0, times if times is not None else 64
-    while depth < limit:
+    depth = 0
+    walked = None  # without times a node is walked once, in the round that first reaches it, so that cycles end
+    while times is None or depth < times:
         depth += 1
         now = apply(graph, now, inner).rows
+        if times is None:
+            ids = ["id"] + [c for c in ("_row",) if c in now.columns]
+            now = kept(now if walked is None else now.join(walked, ids, "left_anti"), "repeat")
+            walked = now.select(*ids).distinct() if walked is None else walked.union(now.select(*ids).distinct())
         if until is not None:
             done = _satisfied(graph, now, until)
             hit, now = now.join(done, "id", "left_semi").select(*now.columns), now.join(done, "id", "left_anti").select(*now.columns)
@@ -305,11 +314,14 @@ def apply(graph: Graph, rows: DataFrame, steps: list[Step]) -> Result:
             rows = rows.where(F.coalesce(F.element_at("props_str", F.lit(s.args[0])).isNotNull() | F.element_at("props_int", F.lit(s.args[0])).isNotNull(), F.lit(False)))
         elif n == "property":
             value = F.coalesce(F.element_at("props_str", F.lit(s.args[0])), F.element_at("props_int", F.lit(s.args[0])).cast("array<string>"))
-            rows, kind = rows.select(F.explode(value).alias("value")).where("value IS NOT NULL"), "values"
+            rows, kind = rows.select(F.explode(value).alias("value"), *[c for c in ("_row",) if c in rows.columns]).where("value IS NOT NULL"), "values"
         elif n == "dedup":
             rows = rows.dropDuplicates(["id"] + [c for c in ("_row",) if c in rows.columns])
         elif n in ("limit", "take"):
-            rows = rows.orderBy("id").limit(s.args[0])
+            if "_row" in rows.columns:  # inside a condition, so many for each row that it is tried on
+                rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("_row").orderBy("id"))).where(F.col("_n") <= s.args[0]).drop("_n")
+            else:
+                rows = rows.orderBy("id").limit(s.args[0])
         elif n == "repeat":
             rows = _repeat(graph, rows, s)
         elif n in ("reachableBy", "reachableByFlows"):
@@ -318,9 +330,13 @@ def apply(graph: Graph, rows: DataFrame, steps: list[Step]) -> Result:
             sources = run(graph, s.args[0][1]).rows.select("id")
             flow = graph.e("REACHING_DEF", "DDG")
             if n == "reachableBy":
-                back = reach(rows.select(F.col("id").alias("origin"), F.col("id").alias("node")), flow.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-                found = back.join(sources.withColumnRenamed("id", "node").distinct(), "node", "left_semi").select(F.col("node").alias("id")).distinct()
-                rows = found.join(graph.nodes, "id").select(*graph.nodes.columns)
+                against, keep = flow.select(F.col("dst").alias("src"), F.col("src").alias("dst")), [c for c in ("_row",) if c in rows.columns]
+                if keep:
+                    back = reach(rows.select(F.col("_row").alias("origin"), F.col("id").alias("node")), against).select("node", F.col("origin").alias("_row"))
+                else:
+                    back = reached(rows.select("id"), against)
+                found = back.join(sources.withColumnRenamed("id", "node").distinct(), "node", "left_semi").select(F.col("node").alias("id"), *keep).distinct()
+                rows = found.join(graph.nodes, "id").select(*graph.nodes.columns, *keep)
             else:
                 paths = shortest_paths(sources.select(F.col("id").alias("origin"), F.col("id").alias("node")), flow, rows.select("id"))
                 rows, kind = paths.select(F.col("path").alias("value")), "paths"

@@ -8,7 +8,10 @@ evaluation order within a file and stay when other files change. Text that can't
 from __future__ import annotations
 
 import ast
+import bisect
+import hashlib
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,6 +23,7 @@ from ..plans.graph import EDGES, FILES, NODES, Graph, shaped
 from ..plans.storage import kept
 
 ROOM = 1 << 20
+DEEPEST = 200_000
 EXTENSIONS = {"c": "c", "h": "c", "cc": "cpp", "cpp": "cpp", "hpp": "cpp", "cxx": "cpp", "java": "java", "go": "go", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "rs": "rust", "scala": "scala", "py": "python", "rb": "ruby"}
 ORDER_OF_LANGUAGES = ["c", "cpp", "java", "go", "javascript", "typescript", "python", "ruby", "rust", "scala"]
 
@@ -50,6 +54,13 @@ class Built:
             self.bound.add((method, name))
             self.add("LOCAL", parent, name=name, code=name, method=method, line=line)
 
+    def receives(self, call: int, i: int) -> None:
+        """Makes the latest argument edge from a call to a node its receiver."""
+        for at in range(len(self.edges) - 1, -1, -1):
+            if self.edges[at][:3] == (call, i, "ARGUMENT"):
+                self.edges[at] = (call, i, "RECEIVER", 0)
+                return
+
     def argument(self, call: int, i: int, index: int) -> None:
         self.nodes[i]["argument_index"] = index
         self.edges.append((call, i, "ARGUMENT", index))
@@ -189,8 +200,16 @@ def build_python(text: str, path: str) -> Built:
         head = "\n".join(text.split("\n")[: max(0, (e.lineno or 1) - 1)])
         try:
             body, b.text = ast.parse(head).body, head
-        except SyntaxError:
+        except (SyntaxError, RecursionError, MemoryError):
             body = []
+    except (RecursionError, MemoryError):  # the standard parser's own limit: all other top-level statements are kept
+        body = []
+        for part in re.finditer(r"^\S.*(?:\n(?:[ \t)\]}].*)?)*", text, re.M):
+            try:
+                tree = ast.parse("\n" * text.count("\n", 0, part.start()) + part.group())
+            except (SyntaxError, RecursionError, MemoryError):
+                continue
+            body += tree.body
     for s in body:
         b.statement(s, b.top)
     return b.out
@@ -228,7 +247,9 @@ class BraceBuilder:
 
     def __init__(self, text: str, path: str, spec: Spec):
         self.spec, self.out, self.i = spec, Built(), 0
-        self.t = [(m.lastgroup, m.group(), text.count("\n", 0, m.start()) + 1) for m in _LEX.finditer(text) if m.lastgroup != "skip"]
+        ends = [m.start() for m in re.finditer("\n", text)]
+        self.t = [(m.lastgroup, m.group(), bisect.bisect_left(ends, m.start()) + 1) for m in _LEX.finditer(text) if m.lastgroup != "skip"]
+        self.closes: dict[int, int] | None = None
         self.method: int | None = None
         self.owner: str | None = None
         self.top = self.out.add("FILE", name=path, code=path)
@@ -246,21 +267,24 @@ class BraceBuilder:
         return self.out.add(kind, parent, line=line or self.line(), method=self.method, **columns)
 
     def closing(self, start: int) -> int:
-        """Index of the bracket that closes the one at start."""
-        depth, j = 0, start
-        while j < len(self.t):
-            depth += (self.t[j][1] in "([{" and self.t[j][0] == "sign") - (self.t[j][1] in ")]}" and self.t[j][0] == "sign")
-            if depth == 0:
-                return j
-            j += 1
-        return len(self.t) - 1
+        """Index of the bracket that closes the one at start; brackets of all kinds count alike."""
+        if self.closes is None:
+            self.closes, open_ = {}, []
+            for j, (kind, w, _) in enumerate(self.t):
+                if kind == "sign" and w in "([{":
+                    open_.append(j)
+                elif kind == "sign" and w in ")]}" and open_:
+                    self.closes[open_.pop()] = j
+        return self.closes.get(start, len(self.t) - 1 if self.at(start - self.i) in ("(", "[", "{") else start)
 
     def text(self, a: int, b: int) -> str:
-        out = ""
-        for k in range(a, min(b, len(self.t))):
-            w = self.t[k][1]
-            out += " " + w if out and (out[-1].isalnum() and w[0].isalnum()) else w
-        return out
+        out, last = [], ""
+        for _, w, _ in self.t[a:b]:
+            if last and last[-1].isalnum() and w[0].isalnum():
+                out.append(" ")
+            out.append(w)
+            last = w
+        return "".join(out)
 
     def file(self) -> Built:
         while self.i < len(self.t):
@@ -603,7 +627,7 @@ class BraceBuilder:
                     c = self.wrap(parent, left, member.rstrip("!"))
                     self.out.nodes[c]["receiver_name"] = receiver
                     self.out.nodes[left]["argument_index"] = 0
-                    self.out.edges = [(a, b, "RECEIVER" if (a, b, k) == (c, left, "ARGUMENT") else k, 0 if (a, b, k) == (c, left, "ARGUMENT") else o) for a, b, k, o in self.out.edges]
+                    self.out.receives(c, left)
                     self.arguments(c, self.closing(self.i))
                 else:
                     c = self.wrap(parent, left, member)
@@ -642,7 +666,31 @@ class BraceBuilder:
 
 
 def build(path: str, text: str, language: str) -> Built:
-    return build_python(text, path) if language == "python" else BraceBuilder(text, path, SPECS.get(language, SPECS["c"])).file()
+    """The rows of one file. Python frames live on the heap, so the limit may be as deep as a file is long; what is
+    nested deeper than that, or than the standard library's parser reads, is kept as far as it was understood."""
+    builder, limit = None, sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, DEEPEST))
+    try:
+        if language == "python":
+            return build_python(text, path)
+        builder = BraceBuilder(text, path, SPECS.get(language, SPECS["c"]))
+        return builder.file()
+    except (RecursionError, MemoryError):
+        if builder is not None and builder.out.nodes:
+            return builder.out
+        out = Built()
+        out.add("FILE", name=path)
+        return out
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def node_id(file_id: int, path: str, n: int) -> int:
+    """Ids of a file's nodes: ROOM in a row, and for files with more nodes further rooms of their own."""
+    if n < ROOM:
+        return file_id * ROOM + n
+    room = int.from_bytes(hashlib.blake2b(f"{path}#{n // ROOM}".encode(), digest_size=8).digest(), "little") % (1 << 42)
+    return room * ROOM + n % ROOM
 
 
 _NODE_ROW = "id long, kind string, file_id long, method_id long, name string, full_name string, code string, type_full_name string, bases array<string>, receiver_name string, line int, column_number int, order_ int, argument_index int, imported_entity string, imported_as string"
@@ -675,14 +723,15 @@ def build_graph(files: DataFrame, exclude: tuple[str, ...] = ()) -> Graph:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in [*columns, "src", "dst", "edge", "ord"]}
             for f, path, text, lang in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("file_id", "path", "text", "language"))):
-                got, base = build(path, text, lang), f * ROOM
+                got = build(path, text, lang)
+                ids = [node_id(f, path, i) for i in range(len(got.nodes))]
                 for n in got.nodes:
-                    n = {**n, "id": base + n["id"], "file_id": f, "method_id": None if n.get("method") is None else base + n["method"]}
+                    n = {**n, "id": ids[n["id"]], "file_id": f, "method_id": None if n.get("method") is None else ids[n["method"]]}
                     for c in out:
                         out[c].append(n.get(c))
                 for src, dst, kind, place in got.edges:
                     for c in out:
-                        out[c].append({"src": base + src, "dst": base + dst, "edge": kind, "ord": place}.get(c))
+                        out[c].append({"src": ids[src], "dst": ids[dst], "edge": kind, "ord": place}.get(c))
             more = {"src": pa.int64(), "dst": pa.int64(), "edge": pa.string(), "ord": pa.int32()}
             yield pa.RecordBatch.from_arrays([pa.array(v, more.get(c) or types[kinds[c]]) for c, v in out.items()], names=list(out))
 
