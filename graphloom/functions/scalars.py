@@ -76,7 +76,8 @@ def positional(spec: Column) -> Column:
 
 
 def is_capacity_call(name: Column) -> Column:
-    return F.lower(name).rlike("(reserve|ensure.?capacity|realloc|resize|grow)")
+    low = F.lower(F.regexp_replace(name, "^:+", ""))
+    return low.rlike("^(reserve|resize|expand|grow)|prepbuff|realloc") | (low.contains("ensure") & low.contains("capacity"))
 
 
 def is_route_literal(code: Column) -> Column:

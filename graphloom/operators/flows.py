@@ -38,8 +38,8 @@ def local_flow(graph: Graph) -> DataFrame:
 def parameter_flows(graph: Graph, sanitizers: list[str] | None = None, external: DataFrame | None = None) -> DataFrame:
     """summary_flow (method, k): parameters that reach the return, through callees as their own summaries say.
 
-    A round adds, for each known flow of a callee, the edge from that argument to the call, and looks anew from the
-    parameters; it ends when no method has a new flow. external (name, k) are models of functions that have no body.
+    One walk from all parameters: when one comes to its method's end, the edges from that argument to the method's calls are
+    added, over which what has been reached before goes on. external (name, k) are models of functions that have no body.
     """
     args, params = positions(graph)
     base = local_flow(graph)
@@ -49,17 +49,29 @@ def parameter_flows(graph: Graph, sanitizers: list[str] | None = None, external:
     if external is not None:
         known = graph.calls().join(graph.e("CALL").select(F.col("src").alias("id")), "id", "left_anti").join(external, "name").select(F.col("id").alias("call"), "k")
         base = base.unionByName(args.join(known, ["call", "k"]).select(F.col("arg").alias("src"), F.col("call").alias("dst")))
-    seed = kept(params.select("method", "k", F.col("param").alias("origin"), F.col("param").alias("node")), "params")
-    flows, n = kept(seed.select("method", "k").limit(0), "flows"), 0
-    while True:
-        bridges = args.join(targets, "call").join(flows, ["method", "k"]).select(F.col("arg").alias("src"), F.col("call").alias("dst"))
-        got = reach(seed, base.unionByName(bridges), blocked)
-        new = got.join(outs, F.col("node") == F.col("exit")).join(seed.select("origin", "method", "k"), ["origin", "method"]).select("method", "k").distinct()
-        flows = kept(new, "flows")
-        now = flows.count()
-        if now == n:
-            return flows
-        n = now
+    seed = kept(params.select("method", "k", F.col("param").alias("origin")), "params")
+    if blocked is not None:
+        blocked = kept(blocked.select(F.col("id").alias("node")).distinct(), "blocked")
+        base = base.join(blocked.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+    steps = kept(base.distinct(), "steps")
+    sites = args.join(targets, "call").select("method", "k", F.col("arg").alias("src"), F.col("call").alias("dst"))
+    sites = kept(sites if blocked is None else sites.join(blocked.withColumnRenamed("node", "dst"), "dst", "left_anti").select("method", "k", "src", "dst"), "sites")
+    ends = kept(outs.join(seed, "method").select("origin", F.col("exit").alias("node"), "method", "k"), "ends")
+    frontier = kept(seed.select("origin", F.col("origin").alias("node")), "walk")
+    seen, flows, bridges, depth = frontier, seed.select("method", "k").limit(0), steps.limit(0), 0
+    hop = lambda at, over: at.join(over, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"))
+    while not frontier.isEmpty():
+        depth += 1
+        fresh = kept(frontier.join(ends, ["origin", "node"]).select("method", "k").distinct(), "flows")
+        more = kept(sites.join(fresh, ["method", "k"]).select("src", "dst").distinct(), "bridges")
+        # what is new goes on over all steps, what has been seen over the new bridges
+        new = hop(frontier, steps.unionByName(bridges)).unionByName(hop(seen, more)).distinct()
+        frontier = kept(new.join(seen, ["origin", "node"], "left_anti"), "walk")
+        seen = seen.unionByName(frontier)
+        flows, bridges = flows.unionByName(fresh), bridges.unionByName(more)
+        if depth % 8 == 0:
+            seen, flows, bridges = kept(seen, "seen"), kept(flows, "flows"), kept(bridges, "bridges")
+    return flows.distinct()
 
 
 def value_flow(graph: Graph, flows: DataFrame | None = None, external: DataFrame | None = None) -> DataFrame:

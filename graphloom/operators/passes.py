@@ -217,10 +217,12 @@ def symbol_refs(graph: Graph) -> DataFrame:
 
 
 def is_test_path(path: Column) -> Column:
-    """Call resolution's idea of a test file."""
-    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    folders = path.rlike(r"(^|/)(test|tests|__tests__|testing|mock|mocks|fake|fakes|testdata|[^/]*simulators?)/")
-    return folders | stem.rlike("^(mock_|fake_|test_)") | stem.rlike(r"(_test|_tests|_mock|_fake|\.test|\.spec)$")
+    """Call resolution's idea of a test file, by its folders and its name."""
+    low = F.lower(F.regexp_replace(path, r"\\", "/"))
+    folders = low.rlike(r"(^|/)(tests?|testing|testdata|mocks|fakes|__tests__|__mocks__|[^/]*simulators?)/")
+    base = F.element_at(F.split(F.regexp_replace(path, r"\\", "/"), "/"), -1)
+    stem = F.regexp_replace(base, r"\.[^.]*$", "")
+    return folders | F.lower(base).rlike("^(mock_|fake_|test_)") | stem.rlike(r"(_test|_tests|_mock|_fake|\.test|\.spec)$")
 
 
 def resolve_calls(graph: Graph, test_code: bool = False, only: DataFrame | None = None) -> DataFrame:

@@ -60,8 +60,8 @@ def load_pack(text: str) -> RulePack:
 
 
 def is_test_path(path: Column) -> Column:
-    """The detectors' idea of a test file, which differs from call resolution's."""
-    return F.lower(path).rlike(r"(^|/)(tests?|testing|__tests__|spec)(/|$)|_test\.|\.test\.|\.spec\.|(^|/)test_[^/]*$")
+    """The detectors' idea of a test file, by its name alone; it differs from call resolution's."""
+    return path.rlike(r"(_test\.go|Test\.scala|Test\.java|Spec\.scala)$|(^|/)test_[^/]*$|[^/]*\.(test|spec)\.[^/]*$")
 
 
 def _in_scope(graph: Graph, calls: DataFrame) -> DataFrame:

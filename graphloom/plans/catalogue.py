@@ -10,15 +10,16 @@ from pyspark.sql.window import Window as W
 
 from ..functions import scalars as fn
 from ..sources import derive
-from ..sources.derive import CODE, CONTAINMENT_SQL, EVENTS_SQL, TRADE_SQL, UNIT
+from ..sources.frontends import dominant_language, with_language
+from ..sources.derive import CLASSES_SQL, CODE, CONTAINMENT_SQL, EVENTS_SQL, ROUTES_SQL, TRADE_PROGRAM_SQL, TRADE_SQL, UNIT
 from .fixpoint import closure, reach, shortest_paths
 from .graph import frozen
 from .traversal import query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-GRAPHS = {"g1": derive.containment, "g2": derive.events, "g3": derive.trade}
-VIEWS = {"g1": CONTAINMENT_SQL, "g2": EVENTS_SQL, "g3": TRADE_SQL}
+GRAPHS = {"g1": derive.containment, "g2": derive.events, "g3": derive.trade, "g4": derive.classes, "g5": derive.trade_program, "g6": derive.routes}
+VIEWS = {"g1": CONTAINMENT_SQL, "g2": EVENTS_SQL, "g3": TRADE_SQL, "g4": CLASSES_SQL, "g5": TRADE_PROGRAM_SQL, "g6": ROUTES_SQL}
 
 
 def on(graph: str, sql: str | None = None, more: str = ""):
@@ -34,14 +35,15 @@ def on(graph: str, sql: str | None = None, more: str = ""):
 
 
 def traversal(name: str, graph: str, text: str, sql: str, columns: list[str] | None = None, more: str = "") -> None:
-    """Registers a query of the traversal language; columns of the nodes to return, or the single value."""
+    """Registers a query of the traversal language; columns of the nodes to return, or the single value. more is `tables` if sql
+    needs no view of the graph."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         got = query(GRAPHS[graph](spark, sf_dir), text)
         return got.rows.select(*columns) if columns else got.rows
 
     QUERIES[name] = run
-    ORACLES[name] = f"WITH {'RECURSIVE ' if more.startswith('R:') else ''}{VIEWS[graph]}{', ' + more.removeprefix('R:') if more else ''} {sql}"
+    ORACLES[name] = sql if more == "tables" else f"WITH {'RECURSIVE ' if more.startswith('R:') else ''}{VIEWS[graph]}{', ' + more.removeprefix('R:') if more else ''} {sql}"
 
 
 NATION, CUSTOMER, ORDER, LINE, USER = (CODE[k] * UNIT for k in ("nation", "customer", "orders", "line", "user"))
@@ -97,12 +99,13 @@ def parameters_of_ordered(g):
     return replace(g, nodes=renamed).parameters().select(F.col("method").alias("parent"), "id", F.col("index").cast("long").alias("index"))
 
 
-@on("g1", f"SELECT kind, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT id, kind FROM g1n WHERE kind IN ('NAMESPACE', 'TYPE_DECL') UNION ALL SELECT id + {10**15}, kind FROM g1n WHERE kind IN ('NAMESPACE', 'TYPE_DECL')) GROUP BY kind")
+@on("g1", "SELECT kind, 2 * count(*) AS n, 2 * count(DISTINCT id) AS ids FROM g1n GROUP BY kind UNION ALL SELECT 'edge ' || kind, 2 * count(*), 2 * count(DISTINCT (src, dst)) FROM g1e GROUP BY kind")
 def absorb_counts(g):
-    from dataclasses import replace
-
-    small = replace(g, nodes=g.of_kind("NAMESPACE", "TYPE_DECL"), edges=g.edges.limit(0))
-    return small.absorb(small, 10**15).nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+    """The graph and a copy of it under other ids; edges that lost an end on the way would not be counted."""
+    both = g.absorb(g, 10**15)
+    nodes = both.nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+    ends = both.edges.join(both.nodes.select(F.col("id").alias("src")), "src", "left_semi").join(both.nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return nodes.unionByName(ends.groupBy(F.concat(F.lit("edge "), "kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src", "dst").alias("ids")))
 
 
 @on("g2", "SELECT count(*) AS nodes, (SELECT count(*) FROM g2e JOIN g2n a ON a.id = src JOIN g2n b ON b.id = dst WHERE a.method_id % 2 = 1 AND b.method_id % 2 = 1) AS edges FROM g2n WHERE method_id % 2 = 1")
@@ -121,22 +124,22 @@ traversal("call_by_code", "g1", 'cpg.call.code("use\\\\(1, .*").code', "SELECT c
 traversal("callee_hop", "g3", 'cpg.method.name("NATION_1.*").callee.name', "SELECT b.name AS value FROM g3n a JOIN g3e ON src = a.id JOIN g3n b ON dst = b.id WHERE starts_with(a.name, 'NATION_1')")
 traversal("caller_hop", "g3", "cpg.method.caller.name", "SELECT a.name AS value FROM g3n a JOIN g3e ON src = a.id")
 traversal("callee_twice", "g3", "cpg.method.callee.callee.name", "SELECT c.name AS value FROM g3e x JOIN g3e y ON x.dst = y.src JOIN g3n c ON y.dst = c.id")
-traversal("in_call", "g1", 'cpg.typ.name("ECONOMY.*").inCall.name', "SELECT c.name AS value FROM g1n t JOIN g1e e ON e.dst = t.id AND e.kind = 'ARGUMENT' JOIN g1n c ON c.id = e.src WHERE t.kind = 'TYPE' AND t.name LIKE 'ECONOMY%'")
+traversal("in_call", "g1", 'cpg.typ.name("ECONOMY.*").inCall.name', "SELECT lower(l_returnflag) || '_' || lower(l_linestatus) AS value FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type LIKE 'ECONOMY%'", more="tables")
 traversal("argument_by_index", "g1", 'cpg.call("a_f").argument(2).name', "SELECT t.name AS value FROM g1n c JOIN g1e e ON e.src = c.id AND e.kind = 'ARGUMENT' JOIN g1n t ON t.id = e.dst WHERE c.kind = 'CALL' AND c.name = 'a_f' AND t.argument_index = 2")
-traversal("ast_parent", "g1", "cpg.block.astParent.name", "SELECT p.name AS value FROM g1n b JOIN g1n p ON p.id = b.up WHERE b.kind = 'BLOCK'")
-traversal("ast_children", "g1", 'cpg.namespace.name("ASIA").astChildren.name', "SELECT c.name AS value FROM g1n p JOIN g1n c ON c.up = p.id WHERE p.kind = 'NAMESPACE' AND p.name = 'ASIA'")
-traversal("enclosing_method", "g1", 'cpg.call.name("r_f").method.name', "SELECT m.name AS value FROM g1n c JOIN g1n m ON m.id = c.method_id WHERE c.kind = 'CALL' AND c.name = 'r_f'")
+traversal("ast_parent", "g1", "cpg.block.astParent.name", "SELECT c_name AS value FROM orders JOIN customer ON o_custkey = c_custkey", more="tables")
+traversal("ast_children", "g1", 'cpg.namespace.name("ASIA").astChildren.name', "SELECT n_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'", more="tables")
+traversal("enclosing_method", "g1", 'cpg.call.name("r_f").method.name', "SELECT c_name AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'R' AND l_linestatus = 'F'", more="tables")
 traversal("calls_in_method", "g2", 'cpg.method.name("user1.*").call.name', "SELECT c.name AS value FROM g2n m JOIN g2n c ON c.method_id = m.id AND c.kind = 'CALL' WHERE m.kind = 'METHOD' AND m.name LIKE 'user1%'")
-traversal("refs_to", "g1", 'cpg.call.name("n_o").refsTo.fullName', "SELECT t.full_name AS value FROM g1n c JOIN g1e e ON e.src = c.id AND e.kind = 'REF' JOIN g1n t ON t.id = e.dst WHERE c.name = 'n_o'")
+traversal("refs_to", "g1", 'cpg.call.name("n_o").refsTo.fullName', "SELECT p_brand AS value FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'N' AND l_linestatus = 'O'", more="tables")
 traversal("eval_type_dedup", "g1", 'cpg.call.name("a_f").evalType.dedup.name', "SELECT DISTINCT t.name AS value FROM g1n c JOIN g1e e ON e.src = c.id AND e.kind = 'EVAL_TYPE' JOIN g1n t ON t.id = e.dst WHERE c.name = 'a_f'")
 traversal("where_has_call", "g2", 'cpg.method.where(_.call.name("purchase")).name', "SELECT name AS value FROM g2n m WHERE kind = 'METHOD' AND EXISTS (FROM g2n c WHERE c.method_id = m.id AND c.kind = 'CALL' AND c.name = 'purchase')")
-traversal("filter_not_has_call", "g1", 'cpg.method.filterNot(_.call.name("r_f")).name', "SELECT name AS value FROM g1n m WHERE kind = 'METHOD' AND NOT EXISTS (FROM g1n c WHERE c.method_id = m.id AND c.kind = 'CALL' AND c.name = 'r_f')")
+traversal("filter_not_has_call", "g1", 'cpg.method.filterNot(_.call.name("r_f")).name', "SELECT c_name AS value FROM customer ANTI JOIN (SELECT DISTINCT o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_linestatus = 'F') ON o_custkey = c_custkey", more="tables")
 traversal("where_or", "g1", 'cpg.block.or(_.name("1-URGENT"), _.astChildren.name("r_f")).id', "SELECT id AS value FROM g1n b WHERE kind = 'BLOCK' AND (name = '1-URGENT' OR EXISTS (FROM g1n c WHERE c.up = b.id AND c.name = 'r_f'))")
-traversal("where_and", "g1", 'cpg.block.and(_.astChildren.name("a_f"), _.astChildren.name("r_f")).id', "SELECT id AS value FROM g1n b WHERE kind = 'BLOCK' AND EXISTS (FROM g1n c WHERE c.up = b.id AND c.name = 'a_f') AND EXISTS (FROM g1n c WHERE c.up = b.id AND c.name = 'r_f')")
+traversal("where_and", "g1", 'cpg.block.and(_.astChildren.name("a_f"), _.astChildren.name("r_f")).id', "SELECT 4000000000000 + o_orderkey AS value FROM orders SEMI JOIN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'A' AND l_linestatus = 'F') AND bool_or(l_returnflag = 'R' AND l_linestatus = 'F')) ON l_orderkey = o_orderkey", more="tables")
 traversal("dedup_names", "g2", "cpg.call.name.dedup", "SELECT DISTINCT name AS value FROM g2n WHERE kind = 'CALL'")
 traversal("limit_first_n", "g1", "cpg.block.limit(20).id", "SELECT id AS value FROM g1n WHERE kind = 'BLOCK' ORDER BY id LIMIT 20")
 traversal("size_of_traversal", "g1", 'cpg.call.where(_.refsTo.name("PROMO.*")).size', "SELECT count(*) AS value FROM g1n c WHERE c.kind = 'CALL' AND EXISTS (FROM g1e e JOIN g1n t ON t.id = e.dst WHERE e.src = c.id AND e.kind = 'REF' AND t.name LIKE 'PROMO%')")
-traversal("labels_of_children", "g1", "cpg.method.astChildren.label", "SELECT c.kind AS value FROM g1n p JOIN g1n c ON c.up = p.id WHERE p.kind = 'METHOD'")
+traversal("labels_of_children", "g1", "cpg.method.astChildren.label", "SELECT 'BLOCK' AS value FROM orders JOIN customer ON o_custkey = c_custkey", more="tables")
 traversal("is_kind_filter", "g1", 'cpg.all.name(".*1.*").isMethod.name', "SELECT name AS value FROM g1n WHERE kind = 'METHOD' AND name LIKE '%1%'")
 traversal("table_of_calls", "g2", 'cpg.call.name("error").p', "SELECT id, kind AS label, line AS location, name, name || '()' AS code FROM g2n WHERE kind = 'CALL' AND name = 'error'")
 traversal("json_of_namespaces", "g1", "cpg.namespace.toJson", """SELECT '{"id":' || id || ',"kind":"' || kind || '","name":"' || name || '","full_name":"' || full_name || '"}' AS value FROM g1n WHERE kind = 'NAMESPACE'""")
@@ -144,8 +147,8 @@ traversal("ast_closure", "g1", 'cpg.namespace.name("AFRICA").ast.label', "SELECT
 traversal("repeat_times", "g3", 'cpg.method.name("NATION_2").repeat(_.callee)(times(3)).name', "SELECT n.name AS value FROM g3n a JOIN g3e x ON x.src = a.id JOIN g3e y ON y.src = x.dst JOIN g3e z ON z.src = y.dst JOIN g3n n ON n.id = z.dst WHERE a.name = 'NATION_2'")
 traversal("repeat_emit_max_depth", "g1", 'cpg.namespace.repeat(_.astChildren)(emit.maxDepth(2)).name', "SELECT name AS value FROM g1n WHERE kind IN ('NAMESPACE', 'TYPE_DECL', 'METHOD')")
 traversal("repeat_emit_but_first", "g1", 'cpg.namespace.repeat(_.astChildren)(emitAllButFirst.times(2)).name', "SELECT name AS value FROM g1n WHERE kind IN ('TYPE_DECL', 'METHOD')")
-traversal("repeat_until", "g1", 'cpg.block.name("1-URGENT").repeat(_.astParent)(until(_.isTypeDecl)).name', "SELECT n.name AS value FROM g1n b JOIN g1n m ON m.id = b.up JOIN g1n n ON n.id = m.up WHERE b.kind = 'BLOCK' AND b.name = '1-URGENT'")
-traversal("cfg_next_names", "g2", 'cpg.call.name("signup").cfgNext.name', "SELECT b.name AS value FROM g2n a JOIN g2e e ON e.src = a.id AND e.kind = 'CFG' JOIN g2n b ON b.id = e.dst WHERE a.name = 'signup'")
+traversal("repeat_until", "g1", 'cpg.block.name("1-URGENT").repeat(_.astParent)(until(_.isTypeDecl)).name', "SELECT n_name AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderpriority = '1-URGENT'", more="tables")
+traversal("cfg_next_names", "g2", 'cpg.call.name("signup").cfgNext.name', "SELECT coalesce(nx, 'RET') AS value FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) nx FROM events) WHERE event_type = 'signup'", more="tables")
 
 
 # fixpoints
@@ -210,26 +213,31 @@ _scalar("word_tokens", lambda c: F.array_join(fn.word_tokens(F.concat(F.lit("get
 _scalar("lc_first", fn.lc_first, "lower(left(p_type, 1)) || substr(p_type, 2)")
 _scalar("type_base", lambda c: fn.type_base(F.concat(F.lit("std::vec."), c, F.lit("*"))), "regexp_extract(c_name, '([^.:/*&]*)$', 1)", "customer", "c_name")
 _scalar("spec_name_normalize", lambda c: fn.spec_name(F.concat(F.lit("::recv."), c, F.lit("@2"))), "regexp_extract(c_name, '([^.]*)$', 1)", "customer", "c_name")
-_scalar("spec_index", lambda c: fn.spec_index(F.concat(c, F.lit("@out7"))), "7", "customer", "c_name")
+_scalar("spec_index", lambda c: fn.spec_index(F.concat(F.lit("f@"), F.when(c.endswith("1"), "out").otherwise(""), F.when(c.endswith("2"), "x").otherwise(F.right(c, F.lit(3))))), "CASE WHEN c_name LIKE '%2' THEN NULL ELSE try_cast(right(c_name, 3) AS int) END", "customer", "c_name")
 _scalar("is_invocation", lambda c: fn.is_invocation(F.concat(F.lit("x = "), c, F.lit("(1)")), F.lit("purchase")), "event_type = 'purchase'", "events", "event_type")
 _scalar("qualified_spelling", lambda c: fn.qualified_spelling(F.concat(F.lit("a.b."), c, F.lit(" (1, f(2))"))), "'a.b.' || event_type", "events", "event_type")
-_scalar("literal_string", lambda c: fn.literal_string(F.concat(F.lit('"'), c, F.lit('"'))), "r_name", "region", "r_name")
+_scalar("literal_string", lambda c: fn.literal_string(F.when(c.startswith("PROMO"), c).when(c.startswith("SMALL"), F.concat(F.lit("'"), c, F.lit("\""))).when(c.startswith("LARGE"), F.concat(F.lit("`"), c, F.lit("\n`"))).otherwise(F.concat(F.lit('"'), c, F.lit('"')))), "CASE WHEN p_type LIKE 'PROMO%' OR p_type LIKE 'SMALL%' THEN NULL WHEN p_type LIKE 'LARGE%' THEN p_type || chr(10) ELSE p_type END")
 _scalar("sarif_level", lambda c: fn.sarif_level(F.when(c.startswith("1"), "critical").when(c.startswith("2"), "medium").otherwise("low")), "CASE left(o_orderpriority, 1) WHEN '1' THEN 'error' WHEN '2' THEN 'warning' ELSE 'note' END", "orders", "o_orderpriority")
-_scalar("is_operator", lambda c: fn.is_operator(F.concat(F.lit("<operator>."), c)), "true", "region", "r_name")
+_scalar("is_operator", lambda c: fn.is_operator(F.when(c.startswith("S"), F.concat(F.lit("<operator>."), c)).when(c.startswith("M"), F.lit("+")).otherwise(c)), "left(p_type, 1) IN ('S', 'M')")
 _scalar("xml_escape", lambda c: fn.xml_escape(F.concat(c, F.lit("<&>\""))), "r_name || '&lt;&amp;&gt;&quot;'", "region", "r_name")
 _scalar("dot_escape", lambda c: fn.dot_escape(F.concat(c, F.lit("\"\\\n"))), "r_name || '\\\"\\\\\\n'", "region", "r_name")
 _scalar("file_name_sanitize", lambda c: fn.file_name(F.concat(c, F.lit("/a b"))), "regexp_replace(r_name, '[^A-Za-z0-9_.\\-]', '_', 'g') || '_a_b'", "region", "r_name")
 _scalar("feature_hash", fn.feature_hash, "(SELECT list_reduce(list_prepend(2166136261::ubigint, list_transform(range(1, length(r_name) + 1), lambda i: ascii(substr(r_name, i, 1))::ubigint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296))::bigint", "region", "r_name")
 _scalar("positional_spec", lambda c: F.concat_ws("|", fn.positional(F.concat(c, F.lit("@src/a.c:12"))).getField("name"), fn.positional(F.concat(c, F.lit("@src/a.c:12"))).getField("line").cast("string")), "event_type || '|12'", "events", "event_type")
-_scalar("capacity_call", lambda c: fn.is_capacity_call(F.concat(F.lit("ensureCapacity"), c)), "true", "region", "r_name")
+_scalar("capacity_call", lambda c: fn.is_capacity_call(F.when(c.startswith("PROMO"), "::growBuffer").when(c.startswith("SMALL"), "outgrow").when(c.startswith("LARGE"), "ensureTheCapacity").when(c.startswith("MEDIUM"), "luaZ_prepbuffsize").otherwise(c)), "regexp_matches(p_type, '^(PROMO|LARGE|MEDIUM)')")
 _scalar("content_digest", lambda c: F.sha2(c, 256), "sha256(text)", "documents", "text")
 
 
+LANGUAGES = {"en": "py", "de": "c", "fr": "java", "es": "go"}
+
+
 def language_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The commonest language of each source; ties go to the first by name."""
-    n = derive.read(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("source").agg(F.min(F.struct((-F.col("n")).alias("m"), "lang")).alias("b")).select("source", F.col("b.lang").alias("language"), (-F.col("b.m")).alias("files"))
+    """Documents as files, whose extension stands for their language: how many files each language has, and which one leads."""
+    ext = F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv]), F.col("lang"))
+    files = derive.read(spark, sf_dir, "documents").select(F.concat_ws(".", F.concat_ws("/", "source", F.col("doc_id").cast("string")), ext).alias("path"), F.lit("").alias("text"))
+    lead = dominant_language(files)
+    return with_language(files).groupBy("language").agg(F.count(F.lit(1)).alias("files")).withColumn("leads", F.col("language") == lead)
 
 
 QUERIES["language_census"] = language_census
-ORACLES["language_census"] = "SELECT source, lang AS language, n AS files FROM (SELECT source, lang, count(*) n FROM documents GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1"
+ORACLES["language_census"] = "SELECT language, files, row_number() OVER (ORDER BY files DESC, list_position(['c', 'cpp', 'java', 'go', 'javascript', 'typescript', 'python'], language)) = 1 AS leads FROM (SELECT CASE lang WHEN 'en' THEN 'python' WHEN 'fr' THEN 'java' WHEN 'es' THEN 'go' ELSE 'c' END AS language, count(*) AS files FROM documents GROUP BY 1)"

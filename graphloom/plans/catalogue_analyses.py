@@ -11,13 +11,14 @@ from ..sources import derive, frontends, idl
 from ..streaming import incremental
 from . import catalogue
 from .catalogue import NATION, ORACLES, QUERIES, on
-from .graph import EDGE_KINDS, NODE_KINDS
+from .graph import EDGE_KINDS, EDGES, NODE_KINDS, NODES, Graph
 from .traversal import query
 
 
 @on("g2", "SELECT src, dst FROM g2e WHERE kind = 'CFG'")
 def cfg_linear(g):
-    return g.e("CFG").select("src", "dst")
+    """Control flow made from the trees of statements in order."""
+    return passes.control_flow(g.without_edges("CFG")).select("src", "dst")
 
 
 @on("g2", "SELECT coalesce(lag(id) OVER w, method_id) AS src, id AS dst FROM g_ev WINDOW w AS (PARTITION BY method_id ORDER BY line) UNION ALL SELECT id, leave FROM g_ev WHERE nxt IS NULL")
@@ -60,44 +61,50 @@ def symbol_refs(g):
     return passes.symbol_refs(replace(g, nodes=g.nodes.withColumn("kind", kind))).select("src", "dst")
 
 
+_LADDER = """p AS (SELECT c.call, c.hint, m.target, m.owner = c.hint r1, EXISTS (FROM g4k WHERE a = c.hint AND b = m.owner) r2, EXISTS (FROM g4k WHERE b = c.hint AND a = m.owner) r3, m.file = c.file r5, m.n = c.n r6
+        FROM g4c c JOIN g4m m ON m.name = c.name AND (c.test OR NOT m.test)),
+    q AS (SELECT *, count(*) OVER w n, min(target) OVER w f, min(target) FILTER (r1) OVER w f1, count(*) FILTER (r2) OVER w n2, count(*) FILTER (r3) OVER w n3, count(*) FILTER (r5) OVER w n5, count(*) FILTER (r6) OVER w n6 FROM p WINDOW w AS (PARTITION BY call))"""
+
+
 @on(
-    "g1",
-    """SELECT src, dst FROM (SELECT c.id src, m.id dst, count(*) OVER (PARTITION BY c.id) n, min(m.id) OVER (PARTITION BY c.id) f, m.f mf, c.f cf, sum((m.f = c.f)::int) OVER (PARTITION BY c.id) nf
-        FROM (SELECT id, name, id % 5 f FROM g1n WHERE kind = 'BLOCK') c JOIN (SELECT id, name, id % 5 f FROM g1n WHERE kind = 'TYPE' AND id % 40 = 0) m ON substr(m.name, 1, 3) = CASE left(c.name, 1) WHEN '1' THEN 'ECO' WHEN '2' THEN 'PRO' ELSE 'LAR' END)
-    WHERE n = 1 OR CASE WHEN nf = 1 THEN mf = cf ELSE dst = f END""",
+    "g4",
+    """SELECT call AS src, target AS dst FROM q WHERE CASE WHEN n = 1 THEN true WHEN hint IS NOT NULL THEN CASE WHEN f1 IS NOT NULL THEN target = f1 WHEN n2 BETWEEN 1 AND 16 THEN r2 WHEN n3 BETWEEN 1 AND 16 THEN r3 ELSE false END
+        WHEN n5 = 1 THEN r5 WHEN n6 = 1 THEN r6 ELSE target = f END""",
+    _LADDER,
 )
 def call_resolution_ladder(g):
-    calls = g.of_kind("BLOCK").withColumn("kind", F.lit("CALL")).withColumn("name", F.when(F.col("name").startswith("1"), "ECO").when(F.col("name").startswith("2"), "PRO").otherwise("LAR"))
-    methods = g.of_kind("TYPE").where("id % 40 = 0").withColumn("kind", F.lit("METHOD")).withColumn("name", F.substring("name", 1, 3))
-    both = calls.unionByName(methods).withColumn("file_id", F.col("id") % 5)
-    return _ladder(g, both)
+    return passes.resolve_calls(g).select("src", "dst")
 
 
-def _ladder(g, both):
-    """The ladder without parameters or arguments: equal counts everywhere, so that rung never has one candidate alone unless all have."""
-    return passes.resolve_calls(replace(g, nodes=both, edges=g.edges.where("kind = 'none'"))).select("src", "dst")
+_BRIDGES = """SELECT src, dst, 'DataDependence' AS kind FROM g5dd UNION ALL SELECT src, dst, 'Summary' FROM g5down UNION ALL SELECT src, dst, 'Summary' FROM g5up"""
 
 
-@on("g3", "SELECT src, dst, 'Summary' AS kind FROM g3e UNION ALL SELECT dst, src, 'DataDependence' FROM g3e")
+@on("g5", _BRIDGES)
 def value_flow_bridges(g):
-    down = g.e("CALL").select("src", "dst", F.lit("Summary").alias("kind"))
-    return down.unionByName(g.e("CALL").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("DataDependence").alias("kind")))
+    return flows.value_flow(g).select("src", "dst", "kind")
 
 
-@on("g3", "SELECT dst AS node, count(*) AS n FROM g3e GROUP BY dst")
+@on("g5", f"SELECT kind, count(*) AS n FROM ({_BRIDGES} UNION ALL SELECT src, dst, 'Summary' FROM g5all WHERE x = 0 AND dst IN (SELECT {derive._K('trade')} FROM g5) AND src IN (SELECT src FROM g5down)) GROUP BY kind", f"R:{derive.returned_sql()}, {derive.steps_sql()}")
 def value_flow_degree(g):
-    return g.e("CALL").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    """With the flows through callees that the summaries know."""
+    return flows.value_flow(g, flows.parameter_flows(g)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@on("g3", f"SELECT node, min(h)::int AS hops FROM t GROUP BY node", f"R:t AS (SELECT {NATION + 3}::bigint node, 0 h UNION SELECT e.src, h + 1 FROM t JOIN g3e e ON e.dst = t.node WHERE h < 2)")
-def backward_slice_depth(g):
-    # each call is a parameter of its target that is an argument of its source: one hop a call
-    c = g.e("CALL").select("src", "dst")
-    reads = c.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    from .fixpoint import reach
+@on("g5", f"SELECT {derive._sql_id('nation', 'k')} AS method FROM g5f", f"R:{derive.returned_sql()}")
+def returned_parameters(g):
+    return flows.parameter_flows(g).select("method")
+
 
-    seed = g.nodes.where(F.col("id") == NATION + 3).select(F.col("id").alias("origin"), F.col("id").alias("node"))
-    return reach(seed, reads, max_depth=2).select("node", F.col("depth").alias("hops"))
+@on(
+    "g5",
+    "SELECT node, min(h)::int AS hops FROM t GROUP BY node",
+    f"""R:st AS (SELECT src, dst, 0 AS cost FROM g5rd UNION ALL SELECT dst, src, 1 FROM (SELECT dst AS src, src AS dst FROM g5down)
+        UNION ALL SELECT rd.src, u.dst, 1 FROM g5up u JOIN g5rd rd ON rd.dst = u.src),
+    t AS (SELECT {derive._sql_id('good', '32')} node, 0 h UNION SELECT st.src, t.h + st.cost FROM t JOIN st ON st.dst = t.node WHERE t.h + st.cost <= 2)""",
+)
+def backward_slice_depth(g):
+    """What the second argument of a nation's calls depends on, at most two calls away."""
+    return flows.backward_slice(g, g.nodes.where(F.col("id") == derive.CODE["good"] * derive.UNIT + 32).select("id"), depth=2).select("node", "hops")
 
 
 @on("g2", "SELECT id AS node, 0 AS hops FROM (SELECT *, max(CASE WHEN name = 'purchase' THEN line END) OVER (PARTITION BY method_id) last FROM g_ev) WHERE line <= last")
@@ -128,32 +135,34 @@ def summary_invalidation(g):
     return incremental.affected_summaries(deps, n.where("full_name = 'world.NATION_7'").select(F.col("full_name").alias("fqn")))
 
 
-_TAINT = "SELECT s.id AS source, p.id AS sink FROM g_ev s JOIN g_ev p ON p.method_id = s.method_id AND p.line > s.line AND p.line <= s.line + 6 WHERE s.name = 'signup' AND p.name = 'purchase'"
+def _taint(sources: str, sinks: str, clean: str = "''") -> tuple[str, str]:
+    """SQL for the shortest flows from sources (a select of ids) to arguments of calls of names in sinks, past calls of names in clean."""
+    return (
+        f"SELECT o AS source_id, {derive._K('trade')} AS sink_id, min(d)::int AS depth FROM t JOIN g5 ON node = {derive._K('good')} AND called IN ({sinks}) GROUP BY ALL",
+        f"R:{derive.returned_sql(clean)}, {derive.steps_sql(clean)}, t AS (SELECT id o, id node, 0 st, 0 d FROM ({sources}) WHERE id NOT IN (SELECT id FROM g5cut) UNION SELECT o, s.dst, s.y, d + 1 FROM t JOIN g5s s ON s.src = t.node AND s.x = t.st WHERE d < 60)",
+    )
 
 
-def _event_paths(g, blocked):
-    from .fixpoint import reach
+def _found(g, spec):
+    return flows.find_flows(g, spec).select("source_id", "sink_id", "depth")
 
-    seed = g.calls_named("signup").select(F.col("id").alias("origin"), F.col("id").alias("node"))
-    cut = g.calls_named("view").select("id") if blocked else None
-    got = reach(seed, g.e("CFG"), cut, max_depth=6)
-    return got.join(g.calls_named("purchase").select(F.col("id").alias("node")), "node", "left_semi").select(F.col("origin").alias("source"), F.col("node").alias("sink"))
 
+_CALLED = f"SELECT {derive._K('trade')} id FROM g5 WHERE called IN ('NATION_1', 'NATION_8')"
 
-@on("g2", _TAINT)
+
+@on("g5", *_taint(_CALLED, "'NATION_7', 'NATION_3'"))
 def taint_source_sink(g):
-    return _event_paths(g, False)
+    return _found(g, flows.TaintSpec(("NATION_1", "NATION_8"), ("NATION_7@0", "NATION_3")))
 
 
-@on("g2", _TAINT + " AND NOT EXISTS (FROM g_ev v WHERE v.method_id = s.method_id AND v.name = 'view' AND v.line BETWEEN s.line AND p.line)")
+@on("g5", *_taint(_CALLED, "'NATION_7', 'NATION_3'", "'NATION_4', 'NATION_12'"))
 def taint_with_sanitizer(g):
-    return _event_paths(g, True)
+    return _found(g, flows.TaintSpec(("NATION_1", "NATION_8"), ("NATION_7@0", "NATION_3"), ("NATION_4", "NATION_12")))
 
 
-@on("g2", "SELECT m.name AS method, count(*) AS n FROM g_ev e JOIN g2n m ON m.id = e.method_id AND m.kind = 'METHOD' WHERE e.name = 'error' AND m.name LIKE 'user1%' GROUP BY m.name")
+@on("g5", *_taint(f"SELECT {derive._sql_id('parameter', 'k')} id FROM g5k WHERE k IN (2, 9)", "'NATION_7', 'NATION_3', 'NATION_11'"))
 def taint_entry_methods(g):
-    entry = g.methods().where(F.col("name").startswith("user1")).select(F.col("id").alias("method_id"), F.col("name").alias("method"))
-    return g.calls_named("error").join(entry, "method_id").groupBy("method").agg(F.count(F.lit(1)).alias("n"))
+    return _found(g, flows.TaintSpec((), ("NATION_7", "NATION_3", "NATION_11"), source_methods=("NATION_2", "world.NATION_9")))
 
 
 @on("g2", "SELECT m.name AS method, c.name AS sink, c.line, c.id FROM g2n c JOIN g2n m ON m.id = c.method_id AND m.kind = 'METHOD' WHERE c.kind = 'CALL' AND (c.name LIKE 'err%' OR c.name = 'click')")
@@ -161,7 +170,7 @@ def forbidden_calls(g):
     return rules.forbidden_calls(g, ("err*", "click"))
 
 
-@on("g1", "SELECT m.full_name AS method, c.name AS sink, c.line, c.id, 'total' AS kind_of FROM g1n c JOIN g1n m ON m.id = c.method_id AND m.kind = 'METHOD' JOIN g1n b ON b.id = c.up AND b.kind = 'BLOCK' WHERE c.kind = 'CALL' AND c.name = 'r_f'")
+@on("g1", "SELECT c_mktsegment AS method, 'r_f' AS sink, n AS line, id, 'total' AS kind_of FROM g_lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
 def discarded_returns(g):
     return rules.discarded_returns(g, ("r_f",))
 
@@ -193,14 +202,29 @@ def resolved_calls(g):
     return rules.coverage(as_calls, [("sink", "x")])[0].select("calls", "resolved")
 
 
-@on("g2", "SELECT * FROM (VALUES ('sink', 'recv.missing@1'), ('source', '::gone')) t(role, spec)")
+@on("g2", "SELECT role, spec FROM (VALUES ('source', 'view', 'view'), ('source', '::gone', 'gone'), ('sink', 'recv.missing@1', 'missing'), ('sink', 'a.purchase@0', 'purchase'), ('sink', '::user1', 'user1')) t(role, spec, plain) WHERE plain NOT IN (SELECT name FROM g2n WHERE kind IN ('CALL', 'METHOD'))")
 def coverage_dead_names(g):
-    return rules.coverage(g, [("source", "view"), ("source", "::gone"), ("sink", "recv.missing@1"), ("sink", "a.purchase@0")])[1]
+    return rules.coverage(g, [("source", "view"), ("source", "::gone"), ("sink", "recv.missing@1"), ("sink", "a.purchase@0"), ("sink", "::user1")])[1]
+
 
+def rpc_link_capped(spark, sf_dir):
+    """Nations ask by name for what their suppliers offer, and for what their customers do; names with more than eight providers aren't linked."""
+    t = lambda n: derive.read(spark, sf_dir, n)
+    offers = t("supplier").select(derive._id("supplier", F.col("s_suppkey")).alias("id"), F.concat(F.lit("Get"), "s_nationkey").alias("name"))
+    offers = offers.unionByName(t("customer").select(derive._id("customer", F.col("c_custkey")).alias("id"), F.concat(F.lit("Put"), "c_nationkey").alias("name")))
+    names = t("nation").select(derive._id("nation", F.col("n_nationkey")).alias("k"), F.explode(F.array(F.concat(F.lit("Get"), "n_nationkey"), F.concat(F.lit("Put"), "n_nationkey"))).alias("name"))
+    calls = names.select((F.col("k") * 2 + F.when(F.col("name").startswith("Put"), 1).otherwise(0)).alias("id"), F.lit("CALL").alias("kind"), F.concat(F.lower(F.substring("name", 1, 1)), F.substring("name", 2, 9)).alias("name"))
+    params = offers.select((-F.col("id")).alias("id"), F.lit("METHOD_PARAMETER_IN").alias("kind"), F.lit(1).alias("order_"))
+    nodes = derive._union([offers.withColumn("kind", F.lit("METHOD")), calls, params], NODES)
+    g = Graph(nodes, derive._union([offers.select(F.col("id").alias("src"), (-F.col("id")).alias("dst"), F.lit("AST").alias("kind"), F.lit(1).alias("ord"))], EDGES))
+    linked, skipped = rules.link_rpcs(g, names.select("name"))
+    return linked.select(F.col("src").cast("string").alias("asked"), "dst").unionByName(skipped.select(F.col("name").alias("asked"), F.col("n").alias("dst")))
 
-@on("g3", "SELECT e.src, e.dst FROM (SELECT NULL::bigint src, NULL::bigint dst) e WHERE false")
-def rpc_link_capped(g):
-    return rules.link_rpcs(g, g.nodes.select("name"))[0].select("src", "dst")
+
+QUERIES["rpc_link_capped"] = rpc_link_capped
+ORACLES["rpc_link_capped"] = f"""WITH o AS (SELECT {derive._sql_id('supplier', 's_suppkey')} id, s_nationkey k, 'Get' kind FROM supplier UNION ALL SELECT {derive._sql_id('customer', 'c_custkey')}, c_nationkey, 'Put' FROM customer),
+    n AS (SELECT *, count(*) OVER (PARTITION BY kind, k) n FROM o)
+    SELECT ({derive._sql_id('nation', 'k')} * 2 + CASE kind WHEN 'Put' THEN 1 ELSE 0 END)::varchar AS asked, id AS dst FROM n WHERE n <= 8 UNION ALL SELECT DISTINCT kind || k, n FROM n WHERE n > 8"""
 
 
 @on("g1", "SELECT feature, count(*) AS nodes FROM (SELECT 'label:' || kind feature FROM g1n UNION ALL SELECT 'name:' || name FROM g1n WHERE name IS NOT NULL) GROUP BY feature")
@@ -247,9 +271,14 @@ def schema_violations(g):
     return export.schema_violations(nodes, g.edges, allowed, NODE_KINDS, EDGE_KINDS).groupBy("violation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@on("g3", "SELECT a, b, derived FROM (SELECT a, b, NOT EXISTS (FROM g3e e WHERE e.src = a AND e.dst = b) AS derived FROM t)", catalogue._CLOSE)
+_STEPS = "R:t AS (SELECT src a, dst b, 1 d FROM g3e UNION SELECT t.a, e.dst, t.d + 1 FROM t JOIN g3e e ON e.src = t.b WHERE t.d < 25), m AS (SELECT a, b, min(d) d FROM t GROUP BY a, b)"
+
+
+@on("g3", "SELECT x.a, x.b, x.d > 1 AS derived, CASE WHEN x.d > 1 THEN min(y.b) END AS via FROM m x LEFT JOIN (SELECT m.a, m.b, m.d, e.dst FROM m JOIN g3e e ON e.src = m.b) y ON y.a = x.a AND y.d = x.d - 1 AND y.dst = x.b GROUP BY x.a, x.b, x.d", _STEPS)
 def facts_with_provenance(g):
-    return flows.fact_closure(g.e("CALL").select(F.col("src").alias("a"), F.col("dst").alias("b")))[0]
+    """Each fact with the step before the last by which it was first derived."""
+    facts, supports = flows.fact_closure(g.e("CALL").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return facts.join(supports, ["a", "b"], "left").select("a", "b", "derived", "via")
 
 
 _REST = "R:t AS (SELECT dst id FROM g3e WHERE src = 2000000000005 UNION SELECT 2000000000005 UNION SELECT e.dst FROM t JOIN g3e e ON e.src = t.id)"
@@ -267,14 +296,10 @@ def invalidated_by(g):
     return flows.invalidated_by(s, g.nodes.where(F.col("id") == NATION + 5).select("id"))
 
 
-def routes_mined(spark, sf_dir):
-    """Hosts' first path parts as routes."""
-    part = F.regexp_extract("url", r"://[^/?#]*(/[^/?#]*)", 1)
-    return derive.read(spark, sf_dir, "pages").select(part.alias("route")).where("route <> ''").distinct()
-
-
-QUERIES["routes_mined"] = routes_mined
-ORACLES["routes_mined"] = "SELECT DISTINCT regexp_extract(url, '://[^/?#]*(/[^/?#]*)', 1) AS route FROM pages WHERE regexp_extract(url, '://[^/?#]*(/[^/?#]*)', 1) <> ''"
+@on("g6", "SELECT DISTINCT path AS route, CASE WHEN safe THEN 'GET' ELSE 'ANY' END AS verb, handler, page_id::int AS line FROM g6h WHERE path <> '' AND handler <> 'on_es'")
+def routes_mined(g):
+    """Registrations of pages by their paths; handlers that no method has the name of give none."""
+    return rules.mine_routes(g)
 
 
 # small programs

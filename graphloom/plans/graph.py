@@ -134,11 +134,12 @@ class Graph:
         files = None if self.files is None else self.files.join(file_ids, "file_id", "left_anti")
         return replace(self, nodes=self.nodes.join(file_ids.select("file_id"), "file_id", "left_anti"), edges=edges.select(*EDGES.names), files=files)
 
-    def absorb(self, other: Graph, offset: int) -> Graph:
-        """Both graphs; the other's ids move by offset."""
-        nodes = other.nodes.withColumn("id", F.col("id") + offset).withColumn("method_id", F.col("method_id") + offset)
-        edges = other.edges.withColumn("src", F.col("src") + offset).withColumn("dst", F.col("dst") + offset)
-        files = self.files if other.files is None else other.files if self.files is None else self.files.unionByName(other.files)
+    def absorb(self, other: Graph, offset: int = 0) -> Graph:
+        """Both graphs; the other's ids move by offset, those of files too. Ids by hash of a path, as the frontends give them, need none."""
+        moved = lambda df, *columns: df.withColumns({c: F.col(c) + offset for c in columns}) if offset else df
+        nodes, edges = moved(other.nodes, "id", "method_id", "file_id"), moved(other.edges, "src", "dst")
+        more = None if other.files is None else moved(other.files, "file_id")
+        files = self.files if more is None else more if self.files is None else self.files.unionByName(more)
         return replace(self, nodes=self.nodes.unionByName(nodes), edges=self.edges.unionByName(edges), files=files, authoritative=self.authoritative | other.authoritative)
 
     def with_edges(self, *more: DataFrame) -> Graph:
