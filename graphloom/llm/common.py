@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..plans.storage import kept, shared_dir
 
-__all__ = ["kept", "shared_dir", "scratch", "dropped", "pieces", "ascii_lower", "n_words", "unit_random", "running_total", "WORD"]
+__all__ = ["kept", "kept_small", "shared_dir", "scratch", "dropped", "pieces", "ascii_lower", "n_words", "unit_random", "running_total", "WORD"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,6 +23,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept_small(df: DataFrame, name: str, size: int = 16 << 20) -> DataFrame:
+    """kept(), with Arrow batches of so many bytes at most while it runs: Python workers hold a few of them beside their own tables."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(size))
+    try:
+        return kept(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the folders that kept() wrote for df, which nothing may read after this."""
     jvm = spark.sparkContext._jvm
@@ -31,11 +42,22 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut to so many rows: whole texts may be long, and Python strings or arrays are made of one piece at a time."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows and bytes, or to single rows: whole texts may be long, and Python strings or arrays, a
+    multiple of their size, are made of one piece at a time. What Arrow has freed goes back to the system after each batch."""
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = batch.num_rows
+        if n <= 1 or (n <= rows and batch.nbytes <= size):
+            yield batch
+        else:
+            yield from cut(batch.slice(0, n // 2))
+            yield from cut(batch.slice(n // 2))
+
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        if batch.num_rows:
+            yield from cut(batch)
+        pa.default_memory_pool().release_unused()
 
 
 def ascii_lower(c: Column) -> Column:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import BLANK_CUT, buffer_of, shingles, words_of
-from .common import dropped, kept, pieces
+from .common import dropped, kept, kept_small, pieces
 from .components import components
 
 WORDS, SIMILAR = 5, (4, 5)  # shingle length; similarity as a fraction
@@ -275,7 +275,7 @@ def _chosen_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
     # one row a key: copies in other tasks are hashed apart, and the first is as good as any
     got = docs.mapInArrow(run, "key long, n long, tokens binary").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    got = kept(got, "jac-sets")
+    got = kept_small(got, "jac-sets")
     chosen.destroy()
     return got
 
@@ -430,13 +430,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     estimate = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     bits = min(36, max(0, (estimate // RANGE_TOKENS).bit_length()))
-    described = kept(_described(docs, bits), "jac-described")
+    described = kept_small(_described(docs, bits), "jac-described")
     summary = described.where("part IS NULL").select("doc_id", "n", "name", "key")
     classes = kept(summary.where("n > 0").groupBy("name", "key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jac-classes")
     total = summary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = _frequent(described.where("part IS NOT NULL").select("part", "tokens", "again", "counts"), total).toArrow().sort_by("token")
     frequent = spark.sparkContext.broadcast((hot.column(0).to_numpy().astype(np.uint64), hot.column(1).to_numpy()))
-    runs = kept(_postings(docs, bits, frequent).groupBy("part").applyInArrow(_runs, RUNS), "jac-runs")
+    runs = kept_small(_postings(docs, bits, frequent).groupBy("part").applyInArrow(_runs, RUNS), "jac-runs")
     frequent.destroy()
     centres = kept(_centres(runs), "jac-centres")
     near = centres.where(F.col("shared") >= 1 + F.floor(F.least("na", "nb") / 16)).select("a", "b")

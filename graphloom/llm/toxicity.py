@@ -1,10 +1,10 @@
 """Toxicity with noisy-channel deobfuscation.
 
 1. A character trigram model is counted over all documents (native sums of what tasks count with numpy).
-2. Tokens that look disguised (digits or signs among letters, runs of equal letters, letters and signs set apart by
+2. Tokens that look disguised (digits or signs among letters, runs of three equal letters, letters and signs set apart by
    blanks or dots) become lattices: a sign may stand for letters it resembles, a run for one or two letters, a
    separator for nothing. Viterbi decoding finds the likeliest reading under the trigram model and the costs of the
-   channel; a word with a doubled letter alone keeps its own spelling beside that. Other tokens have one reading, themselves.
+   channel. Other tokens, also those whose only oddity is a doubled letter, have one reading, themselves.
 3. Restored tokens give features: the word, and its beginnings of 3 to 8 letters, as stems are toxic in inflected
    languages. Weights are smoothed log odds, for features that at least `MIN_DOCUMENTS` toxic documents have.
 4. A logistic model of a document's numbers (sum, largest and second weight of its distinct tokens, how many have any,
@@ -26,7 +26,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ SHORTEST, LONGEST = 3, 8
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
 SEPARATORS = frozenset(".-_*~'`^,:;/\\")
 COST_SIGN, COST_DROP, COST_RUN, COST_KEPT_SIGN = 1.0, 0.5, 0.5, 6.0
-MEMO = 200_000
+MEMO = 100_000
 
 # letters to 6-bit codes: a-z, Latin letters of two bytes, other letters, and 0 for all else
 _CODES = np.zeros(0x250, np.uint8)
@@ -82,28 +83,41 @@ def language_model(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return -np.log(n / n.sum(1, keepdims=True)).astype(np.float32).reshape(-1)
 
 
-_RUN, _DOUBLE = re.compile(r"(.)\1\1+"), re.compile(r"([^\W\d_])\1")
+_RUN = re.compile(r"(.)\1\1+")
 _APART = re.compile(r"(?<!\S)[\w$@!|+€](?:(?:[ \t]{1,2}|[.\-_*])[\w$@!|+€]){2,}(?!\S)")
 
 
 def readings(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice: for each sign or run of a token the letters it may stand for, with the channel's costs."""
-    out = []
+    """The lattice: for each sign or run of a token the letters it may stand for, with the channel's costs; letters between are one part."""
+    out: list[list[tuple[str, float]]] = []
+    plain = ""
     for m in re.finditer(r"(.)\1*", token, re.S):
         c, n = m.group(1), len(m.group())
+        if n == 1 and c.isalpha():
+            plain += c
+            continue
+        if plain:
+            out.append([(plain, 0.0)])
+            plain = ""
         if c.isalpha():
-            ways = [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, COST_RUN)] if n == 2 else [(c, COST_RUN), (c * 2, COST_RUN), (c * n, COST_KEPT_SIGN)]
-            out.append(ways)
+            out.append([(c * 2, 0.0), (c, COST_RUN)] if n == 2 else [(c, COST_RUN), (c * 2, COST_RUN), (c * n, COST_KEPT_SIGN)])
             continue
         for _ in range(n):
             ways = [(x, COST_SIGN) for x in LOOKS_LIKE.get(c, "")]
             if c in SEPARATORS or c in "!|":
                 ways.append(("", COST_DROP))
             out.append(ways or [("", COST_KEPT_SIGN)])
+    if plain:
+        out.append([(plain, 0.0)])
     return out
 
 
-def decoded(token: str, lm: np.ndarray) -> str:
+@lru_cache(maxsize=1 << 14)
+def _letters(letters: str) -> tuple[int, ...]:
+    return tuple(codes_of(letters).tolist())
+
+
+def decoded(token: str, lm: Sequence[float]) -> str:
     """Viterbi over the lattice; a state is the last two codes."""
     best: dict[int, tuple[float, str]] = {0: (0.0, "")}
     for ways in readings(token):
@@ -111,21 +125,22 @@ def decoded(token: str, lm: np.ndarray) -> str:
         for state, (cost, text) in best.items():
             for letters, extra in ways:
                 s, total = state, cost + extra
-                for c in codes_of(letters).tolist() if letters else ():
-                    total += float(lm[(s << 6) | c])
-                    s = ((s << 6) | c) & 4095
+                for c in _letters(letters):
+                    s = (s << 6) | c
+                    total += lm[s]
+                    s &= 4095
                 if s not in new or total < new[s][0]:
                     new[s] = (total, text + letters)
         best = new
-    return min((cost + float(lm[s << 6]), text) for s, (cost, text) in best.items())[1]
+    return min((cost + lm[s << 6], text) for s, (cost, text) in best.items())[1]
 
 
-def words_in(token: str, lm: np.ndarray) -> tuple[str, ...]:
+def words_in(token: str, lm: Sequence[float]) -> tuple[str, ...]:
     """The words of one token between blanks, restored where they look disguised."""
     token = token.strip("\"()[]{}<>,.;:?#%&*=~`^'-_/\\")
     core = token if token.isalpha() else token.rstrip("!|$+@")
     if core.isalpha() and not _RUN.search(core):
-        return tuple(dict.fromkeys((core, decoded(core, lm)))) if _DOUBLE.search(core) else (core,)
+        return (core,)
     if not any(c.isalpha() for c in token):
         return ()
     parts = tuple(p for p in re.split(r"[^\w]+", token) if p.isalpha())
@@ -142,13 +157,13 @@ def beginnings(word: str) -> Iterator[str]:
 class Reader:
     """Texts to restored words, with what was read before remembered up to a bound."""
 
-    def __init__(self, lm: np.ndarray, value):
-        self.lm, self.value, self.memo = lm, value, {}
+    def __init__(self, lm: np.ndarray, value, most: int = MEMO):
+        self.lm, self.value, self.memo, self.most = lm.tolist(), value, {}, most  # plain floats: they are read one by one
 
     def token(self, token: str):
         got = self.memo.get(token)
         if got is None:
-            if len(self.memo) >= MEMO:
+            if len(self.memo) >= self.most:
                 self.memo.clear()
             got = self.memo[token] = self.value(words_in(token, self.lm))
         return got
@@ -182,7 +197,7 @@ def _counts(rows: DataFrame, lm, only) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        reader = Reader(lm.value, _features_of)
+        reader = Reader(lm.value, _features_of, MEMO // 4)
         for b in pieces(batches):
             for text, half in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = frozenset().union(*reader.text(text))
