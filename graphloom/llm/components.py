@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, kept
+from .common import dropped, kept_lean as kept
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,4 +26,5 @@ def components(links: DataFrame) -> DataFrame:
         dropped(spark, labels)
         labels = new.select("node", "comp")
         if done:
+            dropped(spark, both)
             return labels

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import BLANK_CUT, buffer_of, shingles, words_of
-from .common import dropped, kept, kept_small, pieces
+from .common import dropped, kept_lean as kept, kept_small, pieces
 from .components import components
 
 WORDS, SIMILAR = 5, (4, 5)  # shingle length; similarity as a fraction
@@ -256,7 +256,7 @@ def _bitmap(spark: SparkSession, keys: DataFrame, distinct: int) -> tuple[object
 
 
 def _chosen_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, n, tokens) of the sets of keys (key), a written table, and of others that share a bit with one; written."""
+    """(key, n, tokens) of the sets of keys (key), a written table that goes, and of others that share a bit with one; written."""
     chosen, mask = _bitmap(docs.sparkSession, keys, keys.count())
 
     def run(batches):
@@ -277,6 +277,7 @@ def _chosen_sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     got = docs.mapInArrow(run, "key long, n long, tokens binary").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     got = kept_small(got, "jac-sets")
     chosen.destroy()
+    dropped(docs.sparkSession, keys)
     return got
 
 
@@ -382,7 +383,7 @@ def _blocks(post: DataFrame, centres: DataFrame, labels: DataFrame) -> DataFrame
 
 
 def _block_pairs(post: DataFrame, member: DataFrame) -> DataFrame:
-    """(block, other), block <= other: blocks whose sets may be similar by the leading tokens that they share."""
+    """(block, other), block <= other: blocks whose sets may be similar by the leading tokens that they share; written."""
     p, q = SIMILAR
     of = post.select("token", "key").join(member, "key").groupBy("token", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("linked").alias("x"), F.max("linked").alias("y"), F.count(F.lit(1)).alias("sets"))
     of = kept(of, "jac-leads")
@@ -392,21 +393,28 @@ def _block_pairs(post: DataFrame, member: DataFrame) -> DataFrame:
     some = (F.col("block") < F.col("_block")) | ((F.col("block") == F.col("_block")) & (F.col("sets") > 1))
     pairs = of.join(other, "token").where(some & fits & apart)
     pairs = pairs.groupBy("block", F.col("_block").alias("other")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("low", "_low")).alias("low"))
-    return pairs.where(F.col("shared") >= 1 + F.floor(F.col("low") / 16)).select("block", "other")
+    pairs = kept(pairs.where(F.col("shared") >= 1 + F.floor(F.col("low") / 16)).select("block", "other"), "jac-pairs")
+    dropped(post.sparkSession, of)
+    return pairs
 
 
 def _matrix_links(docs: DataFrame, runs: DataFrame, centres: DataFrame, labels: DataFrame) -> DataFrame | None:
-    """Links by the token-group matrix; None if no blocks can have any."""
+    """Links by the token-group matrix, written; None if no blocks can have any. Deletes runs and centres, and its own tables once they are used."""
+    spark = docs.sparkSession
     post = runs.where("kind = 2").select(F.col("a").alias("token"), F.col("b").alias("key"), F.col("na").alias("n"))
     post = post.join(labels.select(F.col("node").alias("key"), F.col("comp").alias("linked")), "key", "left").withColumn("alone", F.col("linked").isNull()).withColumn("linked", F.coalesce("linked", "key"))
     mixed = post.groupBy("token").agg(F.min("linked").alias("_x"), F.max("linked").alias("_y")).where("_x <> _y").select("token")
     post = kept(post.join(mixed, "token", "left_semi"), "jac-mixed")
-    member = kept(_blocks(post, centres, labels), "jac-blocks")
-    pairs = kept(_block_pairs(post, member), "jac-pairs")
+    blocks = kept(_blocks(post, centres, labels), "jac-blocks")
+    for done in (runs, centres):
+        dropped(spark, done)
+    pairs = _block_pairs(post, blocks)
+    dropped(spark, post)
     if pairs.isEmpty():
         return None
     met = pairs.select("block").union(pairs.select("other")).distinct()
-    member = member.join(kept(met, "jac-met"), "block", "left_semi")
+    member = kept(blocks.join(met, "block", "left_semi"), "jac-met")
+    dropped(spark, blocks)
     sets = _chosen_sets(docs, kept(member.select("key"), "jac-keys"))
     cross = pairs.where("block <> other")
     asked = cross.select(F.col("other").alias("block")).distinct()
@@ -419,9 +427,13 @@ def _matrix_links(docs: DataFrame, runs: DataFrame, centres: DataFrame, labels:
     qualified = query.union(row).groupBy("block", "salt").applyInArrow(_bound, "block long, key long")
     itself = pairs.where("block = other").select("block").join(member.select("block", "key"), "block")
     asks = kept(qualified.union(itself.select("block", "key")), "jac-asks")
+    dropped(spark, matrix)
     opened = asks.select("block").distinct()
     rows = _salted(asks, "block", member.join(opened, "block", "left_semi").select("block", "key"), sets, 2 * BLOCK).join(member.select("key", "linked"), "key")
-    return rows.select("block", "salt", "role", "key", "n", "tokens", "linked").groupBy("block", "salt").applyInArrow(_open, "a long, b long")
+    links = kept(rows.select("block", "salt", "role", "key", "n", "tokens", "linked").groupBy("block", "salt").applyInArrow(_open, "a long, b long"), "jac-links")
+    for done in (sets, asks, member, pairs):
+        dropped(spark, done)
+    return links
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -431,25 +443,28 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     estimate = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
     bits = min(36, max(0, (estimate // RANGE_TOKENS).bit_length()))
     described = kept_small(_described(docs, bits), "jac-described")
-    summary = described.where("part IS NULL").select("doc_id", "n", "name", "key")
+    summary = kept(described.where("part IS NULL").select("doc_id", "n", "name", "key"), "jac-summary")
     classes = kept(summary.where("n > 0").groupBy("name", "key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jac-classes")
     total = summary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = _frequent(described.where("part IS NOT NULL").select("part", "tokens", "again", "counts"), total).toArrow().sort_by("token")
+    dropped(spark, described)
     frequent = spark.sparkContext.broadcast((hot.column(0).to_numpy().astype(np.uint64), hot.column(1).to_numpy()))
     runs = kept_small(_postings(docs, bits, frequent).groupBy("part").applyInArrow(_runs, RUNS), "jac-runs")
     frequent.destroy()
     centres = kept(_centres(runs), "jac-centres")
     near = centres.where(F.col("shared") >= 1 + F.floor(F.least("na", "nb") / 16)).select("a", "b")
     keys = kept(near.select(F.col("a").alias("key")).union(near.select("b")).distinct(), "jac-keys")
-    links = kept(_centre_links(near, _chosen_sets(docs, keys)), "jac-links")
+    sets = _chosen_sets(docs, keys)
+    links = kept(_centre_links(near, sets), "jac-links")
+    dropped(spark, sets)
     labels = components(links)
     more = _matrix_links(docs, runs, centres, labels)
     if more is not None:
-        more = kept(more, "jac-links")
         if not more.isEmpty():
+            dropped(spark, labels)
             labels = components(links.union(more))
-    for done in (runs, centres):
-        dropped(spark, done)
+        dropped(spark, more)
+    dropped(spark, links)
     named = classes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     least_id = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least_id, "comp").select("name", "rep", "component_id")
