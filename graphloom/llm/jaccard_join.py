@@ -4,11 +4,13 @@ Documents are sets of hashed word shingles. Equal sets are one class from the st
 only reach similarity t if they share k tokens among each one's first n - ceil(t n) + k in any one order of all
 tokens; k grows with the set, so a few shared passages don't make a candidate. The order here puts tokens that
 many documents have last, by powers of two of their counts, and goes by hash otherwise; the counts come from all
-documents, and only order is at stake, never results.
+documents, and only order is at stake, never results. What common tokens cost grows with the square of the sets that lead with them,
+so rarer ones are told apart as well, by cells of hashes.
 
 1. `_described`: one pass over the texts gives each document's set size and digest, and token counts as sorted blobs
    by hash range. `_frequent` sums these; at most `MOST_FREQUENT` tokens are kept, as the least count that makes a
-   token frequent grows with the number of tokens.
+   token frequent grows with the number of tokens. All tokens are counted by cell, of at most 2^`CELLS`; a token that isn't
+   kept has the place of what its cell holds over the mean.
 2. `_postings`, `_runs`: the leading tokens of each set, by hash range; a token that only one set leads with is dropped.
    A token of very many sets is cut by set into parts of about `SPLIT`, so that no task holds it whole.
 3. Groups: a set goes to the centre (the smallest set of a token's run) that it shares most leading tokens with. A
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ from .components import components
 
 WORDS, SIMILAR = 5, (4, 5)  # shingle length; similarity as a fraction
 MOST_FREQUENT, LEAST_FREQUENT = 1 << 21, 64
+CELLS = 25
 BLOCK, BLOCK_TOKENS = 128, 1 << 20
 RANGE_TOKENS, SPLIT = 1 << 20, 1 << 17
 FLUSH = 1 << 20
@@ -127,9 +131,16 @@ def _described(docs: DataFrame, bits: int) -> DataFrame:
     return docs.mapInArrow(run, DESCRIBED)
 
 
-def _frequent(blobs: DataFrame, total: int) -> DataFrame:
-    """(token, count) of frequent tokens, each as its range and 24 bits."""
+def _cells(total: int, bits: int) -> int:
+    """Cells are named by so many leading bits of a hash: two to four a token, up to 2^CELLS, and two to a range at least."""
+    return max(bits + 1, min(CELLS, bits + 24, total.bit_length() + 1))
+
+
+def _frequent(blobs: DataFrame, total: int, bits: int) -> DataFrame:
+    """(token, count) of frequent tokens, each as its range and 24 bits; and by range (token) the ranks of its cells, 4 bits each, with no count."""
     least = max(LEAST_FREQUENT, -(-total // MOST_FREQUENT))
+    inside = _cells(total, bits) - bits
+    mean = total >> (inside + bits)
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         low, extra = [], []
@@ -139,17 +150,33 @@ def _frequent(blobs: DataFrame, total: int) -> DataFrame:
             low.append(b.view("<u4").ravel())
             extra.append(np.repeat(low[-1][np.frombuffer(again, "<u4")], np.frombuffer(counts, "<u4")))
         tokens, counts = np.unique(np.concatenate(low + extra), return_counts=True)
+        held = np.bincount(tokens >> np.uint32(24 - inside), counts, 1 << inside)
+        rank = np.minimum(np.log2(np.maximum(held - mean, 0) + 1), 15).astype(np.uint8)
         many = counts >= least
-        return pa.table({"token": pa.array((tokens[many].astype(np.int64) + (key[0].as_py() << 24))), "count": pa.array(counts[many])})
+        token = np.r_[tokens[many].astype(np.int64) + (key[0].as_py() << 24), key[0].as_py()]
+        n = len(token) - 1
+        return pa.table({"token": pa.array(token), "count": pa.array([*counts[many].tolist(), None], pa.int64()), "ranks": pa.array([None] * n + [(rank[::2] | rank[1::2] << 4).tobytes()], pa.binary())})
+
+    return blobs.groupBy("part").applyInArrow(add, "token long, count long, ranks binary")
+
 
-    return blobs.groupBy("part").applyInArrow(add, "token long, count long")
+def _order(blobs: DataFrame, total: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of _frequent: the frequent tokens in order, their counts, the ranks of all cells, two a byte, and the bits that name a cell."""
+    got = _frequent(blobs, total, bits).toArrow().sort_by("token")
+    hot, ranges = got.filter(pc.is_valid(got["count"])), got.filter(pc.is_null(got["count"]))
+    cells = _cells(total, bits)
+    ranks = np.zeros(1 << (cells - 1), np.uint8)
+    size = 1 << (cells - bits - 1)
+    for part, blob in zip(ranges["token"].to_pylist(), ranges["ranks"]):
+        ranks[part * size : (part + 1) * size] = np.frombuffer(blob.as_buffer(), np.uint8)
+    return hot["token"].to_numpy().astype(np.uint64), hot["count"].to_numpy(), ranks, cells
 
 
 def _postings(docs: DataFrame, bits: int, frequent) -> DataFrame:
     """(part, tokens, keys, sizes): the leading tokens of all sets, with their sets' keys and sizes, as blobs by part; copies of a task count once."""
 
     def run(batches):
-        hot, count = frequent.value
+        hot, count, ranks, cells = frequent.value
         rank = np.log2(np.maximum(count, 1)).astype(np.int64)
         held: list[tuple] = []
         size = 0
@@ -179,13 +206,13 @@ def _postings(docs: DataFrame, bits: int, frequent) -> DataFrame:
                 if not n:
                     continue
                 take = min(n, int(n - needed(n) + depth(n)))
+                cell = (tokens >> np.uint64(64 - cells)).astype(np.int64)
+                late = (ranks[cell >> 1] >> ((cell & 1) << 2).astype(np.uint8)) & 15
                 if len(hot):
                     short = tokens >> np.uint64(40 - bits)
                     i = np.minimum(np.searchsorted(hot, short), len(hot) - 1)
-                    late = np.where(hot[i] == short, rank[i], 0)
-                    lead = tokens[np.argsort(late, kind="stable")[:take]]
-                else:
-                    lead = tokens[:take]
+                    late = np.where(hot[i] == short, rank[i], late)
+                lead = tokens[np.argsort(late, kind="stable")[:take]]
                 held.append((lead, np.full(take, _key(tokens)[1], np.int64), np.full(take, n, np.int32)))
                 size += take
             if size >= FLUSH // 2:
@@ -411,6 +438,8 @@ def _matrix_links(docs: DataFrame, runs: DataFrame, centres: DataFrame, labels:
     pairs = _block_pairs(post, blocks)
     dropped(spark, post)
     if pairs.isEmpty():
+        for done in (blocks, pairs):
+            dropped(spark, done)
         return None
     met = pairs.select("block").union(pairs.select("other")).distinct()
     member = kept(blocks.join(met, "block", "left_semi"), "jac-met")
@@ -446,9 +475,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     summary = kept(described.where("part IS NULL").select("doc_id", "n", "name", "key"), "jac-summary")
     classes = kept(summary.where("n > 0").groupBy("name", "key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jac-classes")
     total = summary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = _frequent(described.where("part IS NOT NULL").select("part", "tokens", "again", "counts"), total).toArrow().sort_by("token")
+    frequent = spark.sparkContext.broadcast(_order(described.where("part IS NOT NULL").select("part", "tokens", "again", "counts"), total, bits))
     dropped(spark, described)
-    frequent = spark.sparkContext.broadcast((hot.column(0).to_numpy().astype(np.uint64), hot.column(1).to_numpy()))
     runs = kept_small(_postings(docs, bits, frequent).groupBy("part").applyInArrow(_runs, RUNS), "jac-runs")
     frequent.destroy()
     centres = kept(_centres(runs), "jac-centres")
