@@ -5,7 +5,7 @@ only reach similarity t if they share k tokens among each one's first n - ceil(t
 tokens; k grows with the set, so a few shared passages don't make a candidate. The order here puts tokens that
 many documents have last, by powers of two of their counts, and goes by hash otherwise; the counts come from all
 documents, and only order is at stake, never results. What common tokens cost grows with the square of the sets that lead with them,
-so rarer ones are told apart as well, by cells of hashes.
+so rarer ones are told apart as well, by cells of hashes; the more tokens a cell holds, the fewer.
 
 1. `_described`: one pass over the texts gives each document's set size and digest, and token counts as sorted blobs
    by hash range. `_frequent` sums these; at most `MOST_FREQUENT` tokens are kept, as the least count that makes a
