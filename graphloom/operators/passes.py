@@ -54,12 +54,14 @@ class Method:
     """What the kernels need of one method."""
 
     def __init__(self, key: int, rows: list[list]):
-        self.key, self.nodes, self.args, self.cfg = key, {}, {}, []
+        self.key, self.nodes, self.args, self.cfg, self.marks = key, {}, {}, [], {}
         _, row, src, dst, kind, place, name, code = rows
         edges = []
         for r, a, b, k, o, n, c in zip(row, src, dst, kind, place, name, code):
             if r == "n":
                 self.nodes[a] = kernels.Node(a, k, n, c, o)
+            elif r == "m":
+                self.marks[a] = min(o, self.marks.get(a, o))
             else:
                 edges.append((o, b, a, k))
         known = self.nodes or None
@@ -87,6 +89,9 @@ class Method:
     def dominators(self) -> list[tuple]:
         return [(d, n) for n, d in kernels.immediate_dominators(self.key, self.cfg).items()]
 
+    def marks_above(self) -> list[tuple]:
+        return list(kernels.least_above(kernels.immediate_dominators(self.key, self.cfg), self.marks).items()) if self.marks else []
+
     def exits(self) -> set[int]:
         return {b for _, b in self.cfg} - {a for a, _ in self.cfg}
 
@@ -115,7 +120,7 @@ class Method:
         return [(n, d) for n in calls for d in into.get(n, ())]
 
 
-WORK = {"CFG": Method.control_flow, "DOMINATE": Method.dominators, "POST_DOMINATE": Method.post_dominators, "CONDITION": Method.control_dependences, "REACHING_DEF": Method.reaching_definitions, "LAST": Method.last_definitions}
+WORK = {"CFG": Method.control_flow, "DOMINATE": Method.dominators, "POST_DOMINATE": Method.post_dominators, "CONDITION": Method.control_dependences, "REACHING_DEF": Method.reaching_definitions, "LAST": Method.last_definitions, "ABOVE": Method.marks_above}
 
 
 def _methods_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Method]:
@@ -187,6 +192,18 @@ def dominators(graph: Graph, cfg: DataFrame | None = None) -> DataFrame:
     return _of_flow(graph, cfg, "DOMINATE")
 
 
+def _mark_rows(marks: DataFrame) -> DataFrame:
+    """marks (id, method_id, value) as rows that kernels take."""
+    return marks.where("method_id IS NOT NULL AND value IS NOT NULL").select("method_id", F.lit("m").alias("row"), F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit("").alias("kind"), F.col("value").alias("ord"), F.lit("").alias("name"), F.lit("").alias("code"))
+
+
+def dominating_marks(graph: Graph, marks: DataFrame) -> DataFrame:
+    """(id, value): the least value of the marks (id, method_id, value) that dominate a node, for nodes that any does. One walk down each
+    method's tree of dominators, as their pairs grow with the square of a method; methods without a mark aren't moved."""
+    flow = _by_method(graph, "CFG").join(marks.select("method_id").distinct(), "method_id", "left_semi")
+    return _per_method(_edge_rows(flow).unionByName(_mark_rows(marks)), "ABOVE").select(F.col("src").alias("id"), F.col("dst").cast("int").alias("value"))
+
+
 def post_dominators(graph: Graph, cfg: DataFrame | None = None) -> DataFrame:
     """POST_DOMINATE edges (immediate post-dominator, node); exits are nodes without successors."""
     return _of_flow(graph, cfg, "POST_DOMINATE")

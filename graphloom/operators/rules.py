@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 from ..functions import scalars as fn
 from ..plans.graph import Graph, is_analysis_method
 from .flows import TaintSpec, find_flows
+from .passes import dominating_marks
 
 
 @dataclass(frozen=True)
@@ -170,12 +171,12 @@ def is_authz_name(name: Column) -> Column:
     return F.when(F.size(w) == 0, False).otherwise(yes & ~head.isin(sorted(NOT_AUTHZ_HEADS)) & ~tail.isin(sorted(NOT_AUTHZ_TAILS)))
 
 
-def annotate_authz(sinks: DataFrame, checks: DataFrame, dominates: DataFrame) -> DataFrame:
-    """sinks (id, method_id, line) with authz: `authz-dominated@line` if a check (id, method_id, line) dominates the sink,
-    `authz-partial@line` if one only stands in its method, else null. dominates (a, b): a stands before b on all ways."""
-    sure = sinks.select("id").join(dominates.select(F.col("b").alias("id"), "a"), "id").join(checks.select(F.col("id").alias("a"), F.col("line").alias("_l")), "a").groupBy("id").agg(F.min("_l").alias("_sure"))
-    some = sinks.select("id", "method_id").join(checks.select("method_id", F.col("line").alias("_l")), "method_id").groupBy("id").agg(F.min("_l").alias("_some"))
-    out = sinks.join(sure, "id", "left").join(some, "id", "left")
+def annotate_authz(graph: Graph, sinks: DataFrame, checks: DataFrame) -> DataFrame:
+    """sinks (id, method_id, line) with authz: `authz-dominated@line` if a check (id, method_id, line) dominates the sink (the least
+    such line), `authz-partial@line` if one only stands in its method, else null."""
+    sure = dominating_marks(graph, checks.select("id", "method_id", F.col("line").alias("value"))).groupBy("id").agg(F.min("value").alias("_sure"))
+    some = checks.groupBy("method_id").agg(F.min("line").alias("_some"))
+    out = sinks.join(sure, "id", "left").join(some, "method_id", "left")
     return out.withColumn("authz", F.when(F.col("_sure").isNotNull(), F.concat(F.lit("authz-dominated@"), "_sure")).when(F.col("_some").isNotNull(), F.concat(F.lit("authz-partial@"), "_some"))).drop("_sure", "_some")
 
 

@@ -183,11 +183,8 @@ def append_without_delete(g):
 
 @on("g2", "SELECT p.id, CASE WHEN min(CASE WHEN v.line < p.line THEN v.line END) IS NOT NULL THEN 'authz-dominated@' || min(CASE WHEN v.line < p.line THEN v.line END) WHEN count(v.id) > 0 THEN 'authz-partial@' || min(v.line) END AS authz FROM g_ev p LEFT JOIN g_ev v ON v.method_id = p.method_id AND v.name = 'view' WHERE p.name = 'purchase' GROUP BY p.id")
 def authz_annotated(g):
-    from .fixpoint import closure
-
     checks = g.calls_named("view").select("id", "method_id", "line")
-    dom = closure(passes.dominators(g).select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    return rules.annotate_authz(g.calls_named("purchase").select("id", "method_id", "line"), checks, dom).select("id", "authz")
+    return rules.annotate_authz(g, g.calls_named("purchase").select("id", "method_id", "line"), checks).select("id", "authz")
 
 
 @on("g1", "SELECT name, count(*) AS n, '0,2' AS arities FROM (SELECT name FROM g1n WHERE kind = 'CALL') GROUP BY name")
