@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.fixpoint import reach, reached, shortest_paths
 from ..plans.graph import Graph
 from ..plans.storage import kept
+from .passes import marks_ahead
 
 
 def positions(graph: Graph) -> tuple[DataFrame, DataFrame]:
@@ -98,20 +99,30 @@ def value_flow(graph: Graph, flows: DataFrame | None = None, external: DataFrame
 
 
 def backward_slice(graph: Graph, criteria: DataFrame, depth: int = 3, max_nodes: int | None = None) -> DataFrame:
-    """(node, hops) that criteria (id) depend on: definitions at no cost, callers' arguments and callees' returns one hop each."""
+    """(node, hops) that criteria (id) depend on: definitions at no cost, callers' arguments and callees' returns one hop each.
+
+    Definitions within a method are followed in one pass over it, however long they are; a round is a step between methods.
+    """
     args, params = positions(graph)
     rd = graph.e("REACHING_DEF").select("src", "dst")
     targets = graph.call_targets().select("call", F.col("target").alias("method"))
     up = params.join(targets, "method").join(args, ["call", "k"]).select(F.col("param").alias("dst"), F.col("arg").alias("src"))
     down = targets.join(exits(graph), "method").join(rd, F.col("exit") == F.col("dst")).select(F.col("call").alias("dst"), "src")
-    steps = kept(rd.withColumn("cost", F.lit(0)).unionByName(up.unionByName(down).withColumn("cost", F.lit(1))), "slice-steps")
+    own = graph.nodes.where("method_id IS NOT NULL").select("id", "method_id")
+    placed = rd.join(own.withColumnRenamed("id", "src"), "src", "left").join(own.select(F.col("id").alias("dst"), F.col("method_id").alias("_to")), "dst", "left")
+    placed = kept(placed.select("src", "dst", F.when(F.col("method_id") == F.col("_to"), F.col("method_id")).alias("method_id")), "slice-local")
+    inside, across = placed.where("method_id IS NOT NULL"), placed.where("method_id IS NULL").select("src", "dst", F.lit(0).alias("cost"))
+    steps = kept(across.unionByName(up.unionByName(down).select("src", "dst", F.lit(1).alias("cost"))), "slice-steps")
     frontier = kept(criteria.select(F.col("id").alias("node"), F.lit(0).alias("hops")).distinct(), "slice")
-    seen = frontier
+    seen = frontier.limit(0)
     while not frontier.isEmpty():
-        new = frontier.join(steps, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), (F.col("hops") + F.col("cost")).alias("hops")).where(F.col("hops") <= depth).groupBy("node").agg(F.min("hops").alias("hops"))
-        better = new.join(seen.withColumnRenamed("hops", "_had"), "node", "left").where("_had IS NULL OR hops < _had").select("node", "hops")
-        frontier = kept(better, "slice")
-        seen = kept(seen.unionByName(frontier).groupBy("node").agg(F.min("hops").alias("hops")), "slice")
+        marks = frontier.join(own, F.col("node") == F.col("id")).select("id", "method_id", F.col("hops").alias("value"))
+        ahead = marks_ahead(inside, marks).select(F.col("id").alias("node"), F.col("value").alias("hops"))
+        new = frontier.unionByName(ahead).groupBy("node").agg(F.min("hops").alias("hops"))
+        better = kept(new.join(seen.withColumnRenamed("hops", "_had"), "node", "left").where("_had IS NULL OR hops < _had").select("node", "hops"), "slice")
+        seen = kept(seen.unionByName(better).groupBy("node").agg(F.min("hops").alias("hops")), "slice")
+        new = better.join(steps, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), (F.col("hops") + F.col("cost")).alias("hops")).where(F.col("hops") <= depth).groupBy("node").agg(F.min("hops").alias("hops"))
+        frontier = kept(new.join(seen.withColumnRenamed("hops", "_had"), "node", "left").where("_had IS NULL OR hops < _had").select("node", "hops"), "slice")
     return seen if max_nodes is None else seen.orderBy("hops", "node").limit(max_nodes)
 
 

@@ -92,6 +92,9 @@ class Method:
     def marks_above(self) -> list[tuple]:
         return list(kernels.least_above(kernels.immediate_dominators(self.key, self.cfg), self.marks).items()) if self.marks else []
 
+    def marks_ahead(self) -> list[tuple]:
+        return list(kernels.sources_of(self.cfg, self.marks).items())
+
     def exits(self) -> set[int]:
         return {b for _, b in self.cfg} - {a for a, _ in self.cfg}
 
@@ -120,7 +123,7 @@ class Method:
         return [(n, d) for n in calls for d in into.get(n, ())]
 
 
-WORK = {"CFG": Method.control_flow, "DOMINATE": Method.dominators, "POST_DOMINATE": Method.post_dominators, "CONDITION": Method.control_dependences, "REACHING_DEF": Method.reaching_definitions, "LAST": Method.last_definitions, "ABOVE": Method.marks_above}
+WORK = {"CFG": Method.control_flow, "DOMINATE": Method.dominators, "POST_DOMINATE": Method.post_dominators, "CONDITION": Method.control_dependences, "REACHING_DEF": Method.reaching_definitions, "LAST": Method.last_definitions, "ABOVE": Method.marks_above, "AHEAD": Method.marks_ahead}
 
 
 def _methods_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Method]:
@@ -204,6 +207,13 @@ def dominating_marks(graph: Graph, marks: DataFrame) -> DataFrame:
     return _per_method(_edge_rows(flow).unionByName(_mark_rows(marks)), "ABOVE").select(F.col("src").alias("id"), F.col("dst").cast("int").alias("value"))
 
 
+def marks_ahead(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """(id, value): the least value of the marks (id, method_id, value) that a node leads to within its method over edges (method_id, src,
+    dst), itself included; all steps of a method in one pass. Methods without a mark aren't moved."""
+    flow = edges.join(marks.select("method_id").distinct(), "method_id", "left_semi").select("method_id", "src", "dst", F.lit("REACHING_DEF").alias("kind"), F.lit(0).alias("ord"))
+    return _per_method(_edge_rows(flow).unionByName(_mark_rows(marks)), "AHEAD").select(F.col("src").alias("id"), F.col("dst").cast("int").alias("value"))
+
+
 def post_dominators(graph: Graph, cfg: DataFrame | None = None) -> DataFrame:
     """POST_DOMINATE edges (immediate post-dominator, node); exits are nodes without successors."""
     return _of_flow(graph, cfg, "POST_DOMINATE")

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import rules
+from graphloom.operators import flows, rules
 from graphloom.plans.graph import EDGES, NODES, Graph, shaped
 
 
@@ -39,3 +39,14 @@ def test_authz_writes_no_pairs_of_dominators(spark, written):
     got = rules.annotate_authz(g, calls("purchase"), calls("view")).select("id", "authz").collect()
     assert {tuple(r) for r in got} == {(3, "authz-partial@5"), (n, "authz-dominated@5"), (5004, "authz-partial@2"), (5006, "authz-dominated@4"), (6002, None)}
     assert written()[0] < 2 * n
+
+
+def test_slice_of_a_long_method_takes_no_round_a_step(spark, written):
+    # 300 definitions in a row, and one that comes from a node of no method
+    n = 300
+    nodes = [(i, "CALL", 1, "x", i) for i in range(1, n + 1)] + [(900, "CALL", None, "y", None), (901, "CALL", 2, "z", 1), (902, "CALL", 2, "z", 2)]
+    rd = [(i, i + 1) for i in range(1, n)] + [(900, 7), (901, 900), (902, 901)]
+    g = graph(spark, nodes, [(a, b, "REACHING_DEF") for a, b in rd])
+    got = flows.backward_slice(g, g.nodes.where(F.col("id") == n).select("id"), depth=1)
+    assert {tuple(r) for r in got.select("node", "hops").collect()} == {(i, 0) for i in [*range(1, n + 1), 900, 901, 902]}
+    assert written()[1] < 20
