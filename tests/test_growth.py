@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import flows, rules
 from graphloom.plans.graph import EDGES, NODES, Graph, shaped
+from graphloom.sources import derive
 
 
 @pytest.fixture
@@ -50,3 +51,8 @@ def test_slice_of_a_long_method_takes_no_round_a_step(spark, written):
     got = flows.backward_slice(g, g.nodes.where(F.col("id") == n).select("id"), depth=1)
     assert {tuple(r) for r in got.select("node", "hops").collect()} == {(i, 0) for i in [*range(1, n + 1), 900, 901, 902]}
     assert written()[1] < 20
+
+
+def test_trade_reads_the_tables_once(spark):
+    g = derive.trade_program(spark, "/root/testdata/sf0.001")
+    assert "lineitem" not in g.edges._jdf.queryExecution().toString() and g.e("CALL").count() == 75
