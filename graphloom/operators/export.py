@@ -107,10 +107,18 @@ def schema_violations(nodes: DataFrame, edges: DataFrame, allowed: DataFrame, ki
     out = out.unionByName(v(nodes.where(F.col("id").isNull()), "missing-id", F.lit(None), F.col("kind")))
     out = out.unionByName(v(nodes.where(~F.coalesce(F.col("kind").isin(kinds), F.lit(False))), "unknown-node-kind", F.col("id"), F.col("kind")))
     out = out.unionByName(v(edges.where(~F.coalesce(F.col("kind").isin(edge_kinds), F.lit(False))), "unknown-edge-kind", F.col("src"), F.col("kind")))
-    ids = nodes.select("id", F.col("kind").alias("_k")).dropDuplicates(["id"])
-    for end in ("src", "dst"):
-        out = out.unionByName(v(edges.join(ids.withColumnRenamed("id", end), end, "left_anti"), f"dangling-{end}", F.col(end), F.col("kind")))
-    both = edges.join(ids.select(F.col("id").alias("src"), F.col("_k").alias("src_kind")), "src").join(ids.select(F.col("id").alias("dst"), F.col("_k").alias("dst_kind")), "dst")
-    ruled = both.join(F.broadcast(allowed.select("kind").distinct()), "kind", "left_semi")
-    bad = ruled.join(allowed, ["kind", "src_kind", "dst_kind"], "left_anti")
-    return out.unionByName(v(bad, "illegal-ends", F.col("src"), F.concat_ws(" ", "kind", "src_kind", "dst_kind")))
+    # edges meet the nodes once by each end, and all that is wrong with an edge is told from that one row
+    ids = nodes.groupBy("id").agg(F.first("kind").alias("_k"))
+    end = lambda e: ids.select(F.col("id").alias(e), F.col("_k").alias(f"{e}_kind"), F.lit(True).alias(f"_{e}"))
+    seen = edges.select("src", "dst", "kind").join(F.broadcast(allowed.select("kind").distinct().withColumn("_ruled", F.lit(True))), "kind", "left")
+    # on the way to the other end, only edges whose kinds are ruled or that lack a source need to tell it
+    seen = seen.join(end("src"), "src", "left").withColumn("_told", F.col("_ruled").isNotNull() | F.col("_src").isNull())
+    seen = seen.select("dst", "kind", F.when(F.col("_told"), F.col("src")).alias("src"), F.when(F.col("_ruled"), F.col("src_kind")).alias("src_kind"), "_ruled", "_src")
+    seen = seen.join(end("dst"), "dst", "left").join(F.broadcast(allowed.select("kind", "src_kind", "dst_kind").distinct().withColumn("_legal", F.lit(True))), ["kind", "src_kind", "dst_kind"], "left")
+    wrong = lambda when, name, i, detail: F.when(when, F.struct(F.lit(name).alias("violation"), F.col(i).alias("id"), detail.alias("detail")))
+    illegal = F.col("_ruled").isNotNull() & F.col("_src").isNotNull() & F.col("_dst").isNotNull() & F.col("_legal").isNull()
+    found = F.array(
+        wrong(F.col("_src").isNull(), "dangling-src", "src", F.col("kind")), wrong(F.col("_dst").isNull(), "dangling-dst", "dst", F.col("kind")),
+        wrong(illegal, "illegal-ends", "src", F.concat_ws(" ", "kind", "src_kind", "dst_kind")),
+    )
+    return out.unionByName(seen.where(F.col("_src").isNull() | F.col("_dst").isNull() | illegal).select(F.explode(F.filter(found, lambda x: x.isNotNull())).alias("_v")).select("_v.*"))

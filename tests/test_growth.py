@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import flows, rules
+from graphloom.operators import export, flows, rules
 from graphloom.plans.graph import EDGES, NODES, Graph, shaped
 from graphloom.sources import derive
 
@@ -56,3 +56,17 @@ def test_slice_of_a_long_method_takes_no_round_a_step(spark, written):
 def test_trade_reads_the_tables_once(spark):
     g = derive.trade_program(spark, "/root/testdata/sf0.001")
     assert "lineitem" not in g.edges._jdf.queryExecution().toString() and g.e("CALL").count() == 75
+
+
+def test_schema_violations_join_the_edges_once_by_each_end(spark):
+    nodes = [(1, "METHOD", 1, "f", 1), (2, "CALL", 1, "c", 1), (3, None, 1, "n", 1), (4, "CALL", 1, "d", 1), (4, "CALL", 1, "d", 1)]
+    edges = [(1, 2, "AST"), (2, 1, "AST"), (3, 2, "AST"), (9, 8, "AST"), (9, 8, "AST"), (None, 2, "REF"), (2, None, "REF"), (9, 2, "CFG"), (2, 1, "CFG"), (4, 2, "ODD")]
+    g = graph(spark, nodes, edges)
+    allowed = spark.createDataFrame([("AST", "METHOD", "CALL")], "kind string, src_kind string, dst_kind string")
+    got = export.schema_violations(g.nodes, g.edges, allowed, ["METHOD", "CALL"], ["AST", "REF", "CFG"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [("duplicate-id", 4, "2"), ("unknown-node-kind", 3, None), ("unknown-edge-kind", 4, "ODD"), ("illegal-ends", 2, "AST CALL METHOD"), ("illegal-ends", 3, "AST CALL"), ("dangling-src", None, "REF"), ("dangling-dst", None, "REF"), ("dangling-src", 9, "CFG")]
+        + [("dangling-src", 9, "AST"), ("dangling-dst", 8, "AST")] * 2, key=str,
+    )
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 4 and "LeftAnti" not in plan
