@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import export, flows, rules
 from graphloom.plans.graph import EDGES, NODES, Graph, shaped
+from graphloom.queries import QUERIES
 from graphloom.sources import derive
 
 
@@ -70,3 +71,8 @@ def test_schema_violations_join_the_edges_once_by_each_end(spark):
     )
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 4 and "LeftAnti" not in plan
+
+
+def test_absorb_counts_reads_lines_from_what_it_wrote(spark, written):
+    got = QUERIES["absorb_counts"](spark, "/root/testdata/sf0.001")
+    assert written()[1] == 2 and "l_orderkey" not in got._jdf.queryExecution().optimizedPlan().toString()
