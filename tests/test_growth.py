@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import export, flows, rules
+from graphloom.plans import traversal
 from graphloom.plans.graph import EDGES, NODES, Graph, shaped
 from graphloom.queries import QUERIES
 from graphloom.sources import derive
@@ -76,3 +77,11 @@ def test_schema_violations_join_the_edges_once_by_each_end(spark):
 def test_absorb_counts_reads_lines_from_what_it_wrote(spark, written):
     got = QUERIES["absorb_counts"](spark, "/root/testdata/sf0.001")
     assert written()[1] == 2 and "l_orderkey" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_round_of_repeat_moves_only_edges_near_its_nodes(spark):
+    g = derive.containment(spark, "/root/testdata/sf0.001")
+    rows = g.of_kind("BLOCK").where("name = '1-URGENT'").select(*g.nodes.columns)
+    got = traversal._near_hop(g, rows, *traversal.HOPS["astParent"])
+    assert got.select("kind").distinct().collect() == [("METHOD",)] and got.count() == rows.count()
+    assert "BETWEEN" in got._jdf.queryExecution().optimizedPlan().toString().upper() or ">=" in got._jdf.queryExecution().optimizedPlan().toString()
